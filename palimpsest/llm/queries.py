@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries() and oracle_sql(), in the order of their operators.
-MODULES = ("mixing", "url_filter", "quality", "line_dedup")
+MODULES = ("mixing", "ogg", "url_filter", "quality", "line_dedup")
 
 
 def _all(what: str) -> dict:
