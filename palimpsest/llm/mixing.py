@@ -107,7 +107,9 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, sha
         F.ceil(F.col("source_size") / F.lit(block)).cast("long").alias("blocks"),
     ).withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil((F.col("due") - F.col("passes") * F.col("source_size")) / F.lit(block)).cast("long"))
     counted = counted.withColumns({"ticket": F.coalesce(F.sum("slots").over(upto), F.lit(0)), "tickets": F.sum("slots").over(Window.partitionBy())})
-    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN)))).repartition("number", "run")
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))))
+    # Few rows that unfold to many: a fixed number of partitions, which is not merged by the rows' size before they unfold.
+    runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run")
     slot = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1)))
     drawn = permuted(F.col("ticket") + F.col("slot"), F.col("tickets"), F.lit(1))
     slot = slot.select(
@@ -130,7 +132,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, shard: i
     placed, slots = mix_plan(docs, id_column, block, shard)
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
     cut = placed.where("size > 0").select("number", "doc_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("block"))
-    joined = cut.join(slots, ["number", "block"])
+    # The planner knows the slots' size only before they unfold; a merge join keeps it from broadcasting them.
+    joined = cut.join(slots.hint("merge"), ["number", "block"])
     begin = F.greatest(F.col("at"), F.col("block") * block)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words"))
     pieces = joined.select(
