@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries() and oracle_sql(), in the order of their operators.
-MODULES = ("mixing", "licences", "ogg", "url_filter", "substring_dedup", "quality", "line_dedup", "simhash", "secret_scan")
+MODULES = ("mixing", "licences", "ogg", "url_filter", "substring_dedup", "quality", "line_dedup", "simhash", "secret_scan", "sentencepiece_scan")
 
 
 def _all(what: str) -> dict:
