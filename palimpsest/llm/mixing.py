@@ -36,6 +36,8 @@ PRIME = 2147483647
 def permuted(index: Column, n: Column, key: Column) -> Column:
     """A pseudorandom bijection of 0..n-1: swap-or-not rounds, each a reflection that half of the pairs take part in."""
 
+    key = key.cast("long")
+
     def turn(x: Column, r: Column) -> Column:
         pivot = F.pmod(F.pmod(key + r * 7919, F.lit(PRIME)) * 48271 + 11 * r, F.lit(PRIME))
         other = F.pmod(pivot - x, n)
@@ -63,7 +65,8 @@ def targets(parts: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """A row for each source: its size, weight, number and target. parts: (source, part, words).
 
     Shares that stop at their cap are filled in the order in which sources reach it: the level is the first at which what is
-    left, dealt by weight, puts no later source above its cap. One row for each source goes through one task.
+    left, dealt by weight, puts no later source above its cap (levels only sink after it, so it is the largest of those). One
+    row for each source goes through one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by_source = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -76,7 +79,7 @@ def targets(parts: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         "left_words": F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
         "left_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     }).withColumn("level", F.col("left_words") / F.col("left_weight"))
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
     filled = levels.withColumn("target", F.least(F.col("cap"), F.coalesce(level, F.col("fill")) * F.col("weight")))
     return filled.select("source", "source_size", "weight", "number", "target", F.least(F.floor(F.col("target") + 0.5), F.floor("cap")).cast("long").alias("due"))
 
@@ -206,7 +209,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][number % 3 + 1]::DOUBLE AS weight, source_size *
 lv AS (
   SELECT *, cap / weight AS fill, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, least(cap, coalesce(min(CASE WHEN level <= fill THEN level END) OVER (), fill) * weight) AS target FROM lv),
+t AS (SELECT *, least(cap, coalesce(max(CASE WHEN level <= fill THEN level END) OVER (), fill) * weight) AS target FROM lv),
 s AS (SELECT *, least(floor(target + 0.5), floor(cap))::BIGINT AS due FROM t),
 c AS (SELECT number, source_size, due, due // source_size AS passes, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM s WHERE due > 0),
 k AS (SELECT *, passes * blocks + (due - passes * source_size + {BLOCK - 1}) // {BLOCK} AS slots FROM c),
