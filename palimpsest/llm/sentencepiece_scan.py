@@ -22,20 +22,26 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import row_key, table, text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk. A last chunk has up to MARGIN more.
-CHUNK = 16384
+CHUNK = 65536
 MARGIN = 64
 SPACE = "▁"
+#: Characters or ids that a worker handles at once.
+PART = 1 << 20
 #: Pairs that a worker remembers before it starts anew.
 REMEMBERED = 1 << 20
 
@@ -221,6 +227,23 @@ def _send(spark: SparkSession, model: str) -> str:
     return model
 
 
+def _parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PART by size, so that Python's objects for a few rows exist at a time."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes.to_pylist()):
+        total += n or 0
+        if total >= PART:
+            yield batch.slice(at, i + 1 - at)
+            at, total = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _id_lists(lists: list[list[int]]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
+
+
 def cut_text(text: str, longest: int, chunk: int) -> Iterator[tuple[int, str, str, str]]:
     """(number, left, body, right) of the chunks of an escaped text."""
     n = max(1, (len(text) - MARGIN) // chunk)
@@ -239,12 +262,15 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chun
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("t"), F.col(id_column).alias("id"), row_key(id_column).alias("key"))
     giant = F.length("t") > chunk
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        return texts.map(p.encode)
+        for b in batches:
+            for part in _parts(b, pc.utf8_length(b.column(0).field("text"))):
+                texts = part.column(0).field("text")
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists([p.encode(t.as_py() or "") for t in texts])], ["row", "ids"])
 
-    short = rows.where(~giant).select("row", encode("t").alias("ids"))
+    kind = rows.schema["row"].dataType
+    short = rows.where(~giant).select("row").mapInArrow(encode, T.StructType([T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     long = rows.where(giant)
     ids = _scanned(long.select("id", "key", "t"), model, chunk)
     met = long.select("row", "id", "key").join(ids, (long["key"] == ids["k_key"]) & long["id"].eqNullSafe(ids["k_id"])).select("row", "ids")
@@ -253,7 +279,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chun
 
 def _scanned(texts: DataFrame, model: str, chunk: int) -> DataFrame:
     """k_id, k_key, ids of giant texts (id, key, t)."""
-    kind = texts.schema["id"].dataType.simpleString()
+    kind, id_type = texts.schema["id"].dataType.simpleString(), to_arrow_type(texts.schema["id"].dataType)
     place = ["id", "key", "n"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +299,14 @@ def _scanned(texts: DataFrame, model: str, chunk: int) -> DataFrame:
                 out.append(json.dumps([c.entries(), [[*s, str(m)] for s, m in sorted(c.matrix().items())]]))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.string())], [*place, "matrix"])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n").drop_duplicates("n")
-        read = [json.loads(m) for m in group["matrix"]]
-        found = states_of([([tuple(e) for e in entries], {(a, b): int(m) for a, b, m in rows}) for entries, rows in read])
-        return group[place].assign(entry=[list(e) for e, _ in found], leave=[list(x) for _, x in found])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by text and chunk number; a text's matrices are held until the next text begins."""
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
+        for (i, key), group in groupby(rows, key=lambda r: r[:2]):
+            one = {n: json.loads(m) for _, _, n, m in group}
+            found = states_of([([tuple(e) for e in entries], {(a, b): int(m) for a, b, m in cells}) for entries, cells in one.values()])
+            columns = [[i] * len(one), [key] * len(one), list(one), [list(e) for e, _ in found], [list(x) for _, x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], [*place, "entry", "leave"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -287,21 +316,22 @@ def _scanned(texts: DataFrame, model: str, chunk: int) -> DataFrame:
 
     chunks = written(texts.mapInArrow(cut, f"id {kind}, key long, n long, l string, body string, r string").repartition("id", "key", "n"), "chunks")
     matrices = chunks.mapInArrow(matrix, f"id {kind}, key long, n long, matrix string")
-    states = matrices.groupBy("id", "key").applyInPandas(scan, f"id {kind}, key long, n long, entry array<int>, leave array<int>")
+    dealt = matrices.repartition(int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "key").sortWithinPartitions(*place)
+    states = dealt.mapInArrow(scan, f"id {kind}, key long, n long, entry array<int>, leave array<int>")
     s = states.select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), F.col("n").alias("s_n"), "entry", "leave")
-    met = chunks.dropDuplicates(place).join(s, (F.col("key") == F.col("s_key")) & (F.col("n") == F.col("s_n")) & F.col("id").eqNullSafe(F.col("s_id")))
+    met = chunks.join(s, (F.col("key") == F.col("s_key")) & (F.col("n") == F.col("s_n")) & F.col("id").eqNullSafe(F.col("s_id")))
     parts = met.select(*place, "l", "body", "r", "entry", "leave").mapInArrow(trace, f"id {kind}, key long, n long, part array<int>")
-    whole = parts.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    whole = parts.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("n", "part"))).alias("parts"))
     return whole.select(F.col("id").alias("k_id"), F.col("key").alias("k_key"), F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"))
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
     """Texts of piece ids; null for null."""
 
-    @F.pandas_udf("string")
-    def decode(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
         lib = pieces(model).library
-        return column.map(lambda x: None if x is None else lib.decode([int(i) for i in x]))
+        return pa.array([None if x.as_py() is None else lib.decode(x.as_py()) for x in column], pa.string())
 
     return decode(ids)
 
