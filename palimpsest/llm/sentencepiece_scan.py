@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain, groupby
 
@@ -43,8 +42,8 @@ MARGIN = 64
 SPACE = "▁"
 #: Characters or ids that a worker handles at once.
 PART = 1 << 20
-#: Words, and pairs of pieces, that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Pairs of pieces that a worker remembers before it starts anew.
+REMEMBERED = 1 << 20
 
 State = tuple[int, int]
 
@@ -62,12 +61,8 @@ class Pieces:
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in ids}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids) or lib.is_unknown(self.bytes[0]):
-            raise ValueError("pieces with a space behind a letter or a line end, or a model without byte pieces, can't be encoded by parts")
-        #: Ids of words behind a space, or behind a line end that they begin with; one object for each id.
-        self.words: dict[str, tuple[int, ...]] = {"": (self.ids[SPACE],)}
-        self.numbers = list(range(lib.get_piece_size()))
-        self.odd = re.compile("  |^ | $", re.MULTILINE)
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids) or lib.is_unknown(self.bytes[0]):
+            raise ValueError("pieces with a space behind a letter, or a model without byte pieces, can't be encoded by parts")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
@@ -102,23 +97,8 @@ class Pieces:
                     yield end
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts with known ends. No piece holds a line end, nor a space behind something else, so words are encoded
-        apart and once; a word behind a line end keeps it. Texts with runs of spaces, or spaces at a line's ends, go whole."""
-        units = [None if not t or SPACE in t or self.odd.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        found = set().union(*(u for u in units if u is not None))
-        fresh = [w for w in found if w not in self.words]
-        if len(self.words) + len(fresh) > REMEMBERED:
-            self.words = {"": self.words[""]}
-            fresh = [w for w in found if w]
-        spaced, begun = [w for w in fresh if w[0] != "\n"], [w for w in fresh if w[0] == "\n"]
-        number = self.numbers.__getitem__
-        self.words.update((w, tuple(map(number, ids))) for w, ids in zip(spaced, self.library.encode(spaced, out_type=int, num_threads=1)))
-        self.words.update((w, tuple(map(number, ids[1:]))) for w, ids in zip(begun, self.library.encode(begun, out_type=int, num_threads=1)))
-        of = self.words.__getitem__
-        return [self.library.encode(t, out_type=int) if u is None else list(chain.from_iterable(map(of, u))) for t, u in zip(texts, units)]
+        """Ids of a text with known ends."""
+        return self.library.encode(text, out_type=int)
 
     def id_list(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -288,7 +268,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chun
         for b in batches:
             for part in _parts(b, pc.utf8_length(b.column(0).field("text"))):
                 texts = part.column(0).field("text")
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(p.encode_all([t or "" for t in texts.to_pylist()]))], ["row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(p.library.encode([t or "" for t in texts.to_pylist()], out_type=int, num_threads=1))], ["row", "ids"])
 
     kind = rows.schema["row"].dataType
     short = rows.where(~giant).select("row").mapInArrow(encode, T.StructType([T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
