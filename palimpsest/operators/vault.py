@@ -99,7 +99,8 @@ def tokenize(df: DataFrame, text: str = "text", session: str = "session_id", ord
 def resolved_text(body: Column, reverse: Column) -> Column:
     """body with every key of the map replaced by its value in one pass, longer keys first."""
     keys = F.array_sort(F.transform(F.map_keys(reverse), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
-    rx = F.array_join(F.transform(keys, lambda x: F.concat(F.lit("\\Q"), x["k"], F.lit("\\E"))), "|")
+    quoted = lambda k: F.concat(F.lit("\\Q"), F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    rx = F.array_join(F.transform(keys, lambda x: quoted(x["k"])), "|")
     hits = F.regexp_extract_all(body, rx, F.lit(0))
     gaps = F.split(body, rx, -1)
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.element_at(reverse, F.get(hits, i)), F.lit("")))), "")
