@@ -55,7 +55,15 @@ def detect(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = N
     return found.withColumn(out, resolved(F.col(out)))
 
 
+def one_by_one(df: DataFrame, array: str, *columns: str) -> DataFrame:
+    """A row ``x`` for each element of an array column, behind the named columns.
+
+    The outer form keeps the planner from filtering by the array's size first, which would compute the array twice.
+    """
+    return df.select(*columns, F.explode_outer(array).alias("x")).where(F.col("x").isNotNull())
+
+
 def exploded(df: DataFrame, violations: str = "violations") -> DataFrame:
     """A row for each span, its fields as columns behind df's other columns."""
     rest = [c for c in df.columns if c != violations]
-    return df.select(*rest, F.explode(violations).alias("_span")).select(*rest, "_span.*")
+    return one_by_one(df, violations, *rest).select(*rest, "x.*")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.sources.patterns import Pattern
 
-from .detect import detect
+from .detect import detect, one_by_one
 from .rewrite import label, replacement, rewritten_spans, spliced
 from .tokens import family, fragments_of, token_of
 
@@ -35,7 +35,8 @@ def tokenized_spans(violations: Column) -> Column:
 
 def sightings(detected: DataFrame, session: str, order: str) -> DataFrame:
     """session, matched, pattern, ord of every span that gets a token. ord: (request order, minus position)."""
-    spans = detected.select(F.col(session).alias("session_id"), F.col(order).alias("req"), F.explode(tokenized_spans(F.col("violations"))).alias("x"))
+    named = detected.select(F.col(session).alias("session_id"), F.col(order).alias("req"), tokenized_spans(F.col("violations")).alias("v"))
+    spans = one_by_one(named, "v", "session_id", "req")
     return spans.select("session_id", F.col("x.matched").alias("matched"), F.col("x.pattern").alias("pattern"), F.struct("req", (-F.col("x.position")).alias("back")).alias("ord"))
 
 
@@ -83,7 +84,8 @@ def tokenize(df: DataFrame, text: str = "text", session: str = "session_id", ord
     """
     detected = detect(df, text, patterns)
     tokens = vault_tokens(sightings(detected, session, order), max_tokens)
-    keyed = detected.select(F.col(session).alias("session_id"), F.col(order).alias("req"), F.explode(F.array_distinct(F.transform(tokenized_spans(F.col("violations")), lambda x: x["matched"]))).alias("matched"))
+    keyed = detected.select(F.col(session).alias("session_id"), F.col(order).alias("req"), F.array_distinct(F.transform(tokenized_spans(F.col("violations")), lambda x: x["matched"])).alias("v"))
+    keyed = one_by_one(keyed, "v", "session_id", "req").withColumnRenamed("x", "matched")
     found = keyed.join(tokens.select("session_id", "matched", "token", "error"), ["session_id", "matched"])
     known = found.groupBy("session_id", "req").agg(F.map_from_entries(F.collect_list(F.struct("matched", F.coalesce("token", F.lit(""))))).alias("_tokens"), F.min("error").alias("error"))
     met = detected.join(known.withColumnsRenamed({"session_id": "_session", "req": "_req"}), F.col(session).eqNullSafe(F.col("_session")) & F.col(order).eqNullSafe(F.col("_req")), "left")

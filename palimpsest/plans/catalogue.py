@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.checks import entropy
 from palimpsest.operators import advanced, contextual, overlap, payload, report, requests, rewrite, routing, secrets, vault
-from palimpsest.operators.detect import detect, raw_spans
+from palimpsest.operators.detect import detect, one_by_one, raw_spans
 from palimpsest.operators.overlap import resolved
 from palimpsest.operators.spans import pattern_spans
 from palimpsest.sources.patterns import load, patterns_frame
@@ -21,7 +21,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer partitions than cores (one file of one row group is one task).
+
+    Detection costs far more than moving a text. A scan of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(texts: DataFrame, spans: Column) -> DataFrame:
-    found = texts.select("id", spans.alias("v")).select("id", F.explode("v").alias("x"))
+    found = one_by_one(texts.select("id", spans.alias("v")), "v", "id")
     return found.select("id", *[F.col(f"x.{c}").alias(c) for c in ("type", "severity", "pattern", "matched", "position", "end")])
 
 
@@ -50,7 +59,7 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the 24 patterns that stay."""
     texts = _documents(spark, sf_dir).select("id", F.concat(*[pattern_spans(F.col("t"), p) for p in load()]).alias("v"))
-    return texts.select("id", F.explode(resolved(F.col("v"))).alias("x")).select("id", "x.*")
+    return one_by_one(texts.select("id", resolved(F.col("v")).alias("v")), "v", "id").select("id", "x.*")
 
 
 def raw_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +67,7 @@ def raw_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir).select("id", F.explode("violations").alias("x")).select("id", "x.*")
+    return one_by_one(_detected(spark, sf_dir), "violations", "id").select("id", "x.*")
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +99,8 @@ def safe_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redaction_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each replacement is written."""
-    spans = _detected(spark, sf_dir).select(F.explode(F.transform(rewrite.rewritten_spans(F.col("violations")), rewrite.replacement)).alias("label"))
-    return spans.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    labels = _detected(spark, sf_dir).select("id", F.transform(rewrite.rewritten_spans(F.col("violations")), rewrite.replacement).alias("v"))
+    return one_by_one(labels, "v", "id").groupBy(F.col("x").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
