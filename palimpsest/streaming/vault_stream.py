@@ -32,7 +32,11 @@ def _family(pattern: str) -> str:
 
 
 def tokenized_stream(requests: DataFrame, text: str = "text", session: str = "session_id", order: str = "request_order", ttl_ms: int = TTL_MS, max_tokens: int = 100_000) -> DataFrame:
-    """RESULT for each request of a stream (or table: then without state between calls)."""
+    """RESULT for each request of a stream (or table: then without state between calls).
+
+    Where a trigger is to end with the data there is (availableNow), set spark.sql.streaming.noDataMicroBatches.enabled to
+    false: the time to live asks for further batches, and the query would go on.
+    """
     detected = detect(requests, text)
     spans = F.transform(rewritten_spans(F.col("violations")), lambda x: F.struct(x["matched"].alias("matched"), x["pattern"].alias("pattern"), (x["type"] == "credential").alias("fixed"), x["position"].alias("position"), x["end"].alias("end"), F.when(x["type"] == "credential", label(x)).otherwise(replacement(x)).alias("mark")))
     rows = detected.select(F.col(session).alias("session_id"), F.col(order).cast("long").alias("request_order"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.to_json(spans).alias("spans"))
