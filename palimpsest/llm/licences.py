@@ -1,6 +1,7 @@
 """Licence scans: parts of a text compared to licence templates by the Dice coefficient over word bigrams.
 
-A text's units are its lines, its blocks between blank lines and the whole text. A unit's words are runs of a-z and 0-9 after
+A text's units are its lines, its blocks between blank lines, the whole text, and runs of two lines or more (windows) whose size
+a template allows and which begin and end with a line that has a known bigram; of windows that overlap the best stays. A unit's words are runs of a-z and 0-9 after
 A-Z become lower case, so punctuation, other letters and white space only separate. The coefficient of two bags of bigrams is
 twice what they share over the sum of their sizes; to reach the limit t with a template of b bigrams, a unit must have between
 b * t / (2 - t) and b * (2 - t) / t of them. Templates are kept in order of size, so each unit meets only those whose bounds
@@ -17,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +92,7 @@ MATCHES = "array<struct<unit: string, number: int, licence: string, dice: double
 
 
 def scan(text: Column, texts: dict[str, str] = TEMPLATES, least: float = LEAST) -> Column:
-    """The units of each text that match: kind (line, block or text), number from 0, template and coefficient."""
+    """The units of each text that match: kind (line, block, text or window), number from 0 (a window's is its first line's), template and coefficient."""
 
     @F.pandas_udf(MATCHES)
     def run(column: pd.Series) -> pd.Series:
@@ -106,7 +108,38 @@ def unit_matches(text: str, templates: Templates) -> list[dict]:
         for i, unit in enumerate(units):
             if best := templates.best(words_of(unit)):
                 found.append({"unit": kind, "number": i, "licence": best[1], "dice": best[0]})
-    return found
+    return found + windows(text, templates, {m["number"]: m for m in found if m["unit"] == "line"})
+
+
+def windows(text: str, templates: Templates, lines: dict[int, dict]) -> list[dict]:
+    """The runs of lines that match, without overlap, best first; a run is left out if one of its lines matches as well as it."""
+    split = [words_of(line) for line in text.split("\n")]
+    numbers = [i for i, w in enumerate(split) if w]
+    words = [w for i in numbers for w in split[i]]
+    if len(numbers) < 2 or not templates.sizes:
+        return []
+    t = templates.least
+    known = np.concatenate(([0], np.cumsum([g in templates.known for g in zip(words, words[1:])], dtype=np.int64)))
+    ends = np.cumsum([len(split[i]) for i in numbers])
+    starts = np.concatenate(([0], ends[:-1]))
+    # A line at an end of a run that shares nothing only lowers the coefficient.
+    first = np.flatnonzero(known[np.minimum(ends, len(words) - 1)] > known[starts])
+    last = known[ends - 1] > known[np.maximum(starts - 1, 0)]
+    low, high = templates.sizes[0] * t / (2 - t), templates.sizes[-1] * (2 - t) / t
+    met = []
+    for s in first.tolist():
+        e = np.arange(s + 1, int(np.searchsorted(ends, starts[s] + high + 1 + 1e-6, "right")))
+        n = ends[e] - starts[s] - 1
+        shared = known[ends[e] - 1] - known[starts[s]]
+        for j in e[last[e] & (n >= low - 1e-6) & (shared >= n * t / (2 - t) - 1e-6)].tolist():
+            best = templates.best(words[starts[s] : ends[j]])
+            if best and not any(lines[i]["dice"] >= best[0] for i in numbers[s : j + 1] if i in lines):
+                met.append((-best[0], s, j, best[1]))
+    kept: list[tuple] = []
+    for m in sorted(met):
+        if all(m[2] < k[1] or k[2] < m[1] for k in kept):
+            kept.append(m)
+    return [{"unit": "window", "number": numbers[s], "licence": name, "dice": -d} for d, s, _, name in sorted(kept, key=lambda k: k[1])]
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
