@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import line_dedup, mixing, quality, sentencepiece_scan, simhash
+from palimpsest.llm import line_dedup, mixing, quality, sentencepiece_scan, similar_texts
 from palimpsest.llm.common import table, written
 
 
@@ -24,7 +24,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (0.8 or more of their five-word shingles are shared) the document with the smallest id stays."""
-    return simhash.similar_representatives(docs)
+    return similar_texts.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

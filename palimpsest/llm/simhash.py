@@ -16,12 +16,6 @@ Rules for odd rows: null and empty texts, and texts of white space, have fingerp
 null form components of their own value only with rows of the same fingerprint neighbourhood (null is larger than any id, so a
 component takes its smallest id that is not null, if it has one); repeated rows are separate rows of one node; an empty table
 gives an empty result; further columns pass through or are ignored, whatever their names.
-
-A stage on near duplicates (``similar_representatives``) does not use fingerprints: it links texts whose sets of shingles have a Jaccard
-similarity of 0.8 or more, all of them. Texts with equal sets are one node. Shingles have one order for all texts (those that a
-sample finds common come last, the rest by hash), and two sets of similarity t share one of the first n - ceil(t * n) + 1
-shingles of each, so nodes are joined on these; sizes and positions rule out pairs, and the sets themselves decide. In a large
-bucket the middle node is compared to the others first; of the rest, only pairs whose components still differ are compared.
 """
 
 from __future__ import annotations
@@ -32,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, table, written
@@ -41,14 +35,9 @@ from .common import row_key, table, written
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
-#: Words of a shingle in a stage on near duplicates, and the least similarity of a link, as a fraction.
-STAGE_SHINGLE = 5
-SIMILAR, OF = 4, 5
-#: One row of so many is looked at for common shingles; from so many of these rows a shingle is common; so many are kept.
-#: They only order the shingles: other values give the same links.
-SAMPLED, COMMON, MOST_COMMON = 32, 8, 200_000
-#: Rounds after which the search for components gives up; it needs about the logarithm of the longest chain of links.
-MOST_ROUNDS = 60
+#: Parts that a node's neighbours are taken in when components are found, and the most components that count as large.
+SALTS = 256
+MOST_LARGE = 100_000
 #: A bucket of at most so many fingerprints is compared row by row.
 SMALL = 8
 
@@ -245,33 +234,31 @@ def links_of(nodes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node that links reach) of every node with a link, by alternating large and small stars.
 
-    A large star links each node's larger neighbours to its least one, a small star its smaller neighbours; every round is
-    written to the shared folder, and rounds end when the links no longer change.
+    A large star links a node's larger neighbours to the least of all, a small star its smaller neighbours. A node's neighbours
+    are taken in SALTS parts: each is linked to the least of its part, and these to the least of all, so a node with very many
+    neighbours is no single task. Every round is written to the shared folder; rounds end when the links no longer change, which
+    they do: an end only ever gives way to a smaller one.
     """
 
     def stars(edges: DataFrame, larger: bool) -> DataFrame:
-        if larger:
-            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            out = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-        else:
-            down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            least = down.groupBy("a").agg(F.min("b").alias("m"))
-            out = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionAll(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
+        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ends = edges.unionAll(turned) if larger else turned
+        salted = ends.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        least = salted.withColumn("m", F.least(F.col("a"), F.min("b").over(Window.partitionBy("a", "salt"))))
+        moved = (least.where("b > a") if larger else least).select(F.col("b").alias("x"), F.col("m").alias("y"))
+        # At most SALTS rows of a node meet here.
+        parts = least.select("a", "m").distinct().withColumn("all", F.min("m").over(Window.partitionBy("a")))
+        out = moved.unionAll(parts.select(F.col("m").alias("x"), F.col("all").alias("y"))).unionAll(parts.select(F.col("a").alias("x"), F.col("all").alias("y")))
         return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = written(links, "links")
-    now = state(edges)
-    for _ in range(MOST_ROUNDS):
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    was, now = None, state(edges)
+    while was != now:
         edges = written(stars(stars(edges, True), False), "links")
         was, now = now, state(edges)
-        if was == now:
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     ends = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return ends.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
@@ -280,193 +267,26 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE)
     """id, row_key, fp and component_id (the smallest id reachable) of each row of docs."""
     rows = written(with_fingerprints(docs, id_column, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    return _named(rows, nodes, components(links_of(nodes)))
-
-
-def _named(rows: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """The rows with their component's smallest id."""
-    joined = nodes.join(reach, nodes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(joined.join(roots, "root").select(F.col("fp").alias("node_fp"), "component_id"), "components")
-    return rows.join(named, rows["fp"] == named["node_fp"]).select("id", "row_key", "fp", "component_id")
-
-
-def common_shingles(docs: DataFrame, id_column: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the shingles that are common in a sample of the rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
-
-    some = docs.where(F.pmod(row_key(id_column), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
-    met = some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
-    met.sort(key=lambda r: r.h % (1 << 64))
-    return np.array([r.h for r in met], np.int64).view(np.uint64), np.array([r.c for r in met], np.int64)
-
-
-def prefix_of(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set (distinct hashes, ascending), of which every similar set has one among its own first."""
-    n = len(hashes)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - -(-SIMILAR * n // OF) + 1] if n else hashes
-
-
-def with_prefixes(docs: DataFrame, id_column: str, shingle: int) -> DataFrame:
-    """id, row_key, fp (64 bits of the set of shingles), n (its size) and prefix (8 bytes for each shingle) of each row."""
-    common, counts = common_shingles(docs, id_column, shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(2)]
-            fps = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            prefixes = pa.array([prefix_of(s, common, counts).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), sizes, prefixes], ["id", "row_key", "fp", "n", "prefix"])
-
-    rows = docs.select(F.col(id_column).alias("id"), row_key(id_column).alias("row_key"), "text")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row_key long, fp long, n int, prefix binary")
-
-
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            prefixes = [np.frombuffer(p.as_py(), np.int64) for p in part.column(2)]
-            lengths = [len(p) for p in prefixes]
-            pos = [np.arange(n, dtype=np.int32) for n in lengths]
-            fps, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), lengths) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(fps), pa.array(n), pa.array(np.concatenate(pos))], ["key", "fp", "n", "pos"])
-
-
-def may_be_similar(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles can be similar if their first shared one is at these positions."""
-    return (OF + SIMILAR) * np.minimum(n - pos, m - at) >= SIMILAR * (n + m)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """The columns of whole buckets, some at a time; rows come sorted by key."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])
-        if held[-1][0][-1] == held[0][0][0]:
-            continue
-        every = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cut = int(np.searchsorted(every[0], every[0][-1], "left"))
-        yield [c[:cut] for c in every]
-        held = [[c[cut:] for c in every]]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+    reach = components(links_of(nodes))
+    return named(rows.withColumnRenamed("fp", "node"), nodes.withColumnRenamed("fp", "node"), reach).withColumnRenamed("node", "fp")
 
 
-CANDIDATES = "key long, a long, b long, n int, pos int"
+def named(rows: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
+    """The rows (id, row_key, node) with their component's smallest id. nodes: node, least (its smallest id).
 
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b, without key) of small buckets and of large buckets' middle nodes; the rows of large buckets (a is the node)."""
-    for key, fp, n, pos in _buckets(batches, 4):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        small = np.repeat(sizes <= SMALL, sizes)
-        x, y = [], []
-        for k in range(1, SMALL):
-            x.append(np.flatnonzero((key[k:] == key[:-k]) & small[k:]))
-            y.append(x[-1] + k)
-        for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            x.append(np.full(size - 1, s + size // 2))
-            y.append(np.delete(np.arange(s, s + size), size // 2))
-        i, j = np.concatenate(x), np.concatenate(y)
-        good = may_be_similar(n[i], pos[i], n[j], pos[j])
-        a, b = fp[i[good]], fp[j[good]]
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        rest = ~small
-        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-        yield pa.RecordBatch.from_arrays([none[0], pa.array(both[:, 0]), pa.array(both[:, 1]), none[1], none[2]], ["key", "a", "b", "n", "pos"])
-        kept = [pa.array(key[rest]), pa.array(fp[rest]), pa.nulls(int(rest.sum()), pa.int64()), pa.array(n[rest].astype(np.int32)), pa.array(pos[rest].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(kept, ["key", "a", "b", "n", "pos"])
-
-
-def _unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's nodes whose components differ."""
-    for key, fp, n, pos, root in _buckets(batches, 5):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-            if (root[s:e] == root[s]).all():
-                continue
-            for i in range(s, e - 1):
-                j = np.flatnonzero((root[i + 1 : e] != root[i]) & may_be_similar(n[i], pos[i], n[i + 1 : e], pos[i + 1 : e])) + i + 1
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["a", "b"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        good = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            shared = len(p) + len(q) - len(np.union1d(p, q))
-            good.append(OF * shared >= SIMILAR * (len(p) + len(q) - shared))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def similar_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, shingle: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar; sets are made again from the texts of the nodes that are in a pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)], pa.binary())], ["fp", "hashes"])
-
-    pairs = written(pairs.distinct(), "pairs")
-    met = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = nodes.join(met, "fp", "left_semi").select("fp", "k")
-    texts = docs.select(row_key(id_column).alias("k"), "text").join(keys, "k").select("fp", "text")
-    sets = written(texts.mapInArrow(run, "fp long, hashes binary"), "sets")
-    first = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
-    both = first.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_similar, "a long, b long").distinct(), "similar")
-
-
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """id, row_key, fp (of the set of shingles) and component_id of each row: components of all links of similar sets."""
-    rows = written(with_prefixes(docs, id_column, shingle), "prefixes")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("row_key").alias("k")), "nodes")
-    once = rows.select("fp", "n", "prefix").dropDuplicates(["fp"])
-    dealt = once.mapInArrow(_prefix_rows, "key long, fp long, n int, pos int").repartition("key").sortWithinPartitions("key", "n", "fp")
-    found = written(dealt.mapInArrow(_candidates, CANDIDATES), "candidates")
-    links = similar_links(found.where("key IS NULL").select("a", "b"), nodes, docs, id_column, shingle)
-    reach = written(components(links), "reach")
-    large = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), "n", "pos")
-    if not large.isEmpty():
-        named = large.join(reach, large["fp"] == reach["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        rest = named.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_unlinked, "a long, b long")
-        more = similar_links(rest, nodes, docs, id_column, shingle)
-        if not more.isEmpty():
-            reach = components(links.unionAll(more).distinct())
-    return _named(rows.select("id", "row_key", "fp"), nodes.select("fp", "least"), reach)
-
-
-def representatives(docs: DataFrame, id_column: str = "doc_id", shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """One document of each group of near fingerprints stays: the row with the group's smallest id (of rows that share it, one)."""
-    return _least_rows(docs, grouped(docs, id_column, shingle), id_column)
-
-
-def similar_representatives(docs: DataFrame, id_column: str = "doc_id", shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """The same for groups of similar sets of shingles."""
-    return _least_rows(docs, similar_groups(docs, id_column, shingle), id_column)
-
-
-def _least_rows(docs: DataFrame, groups: DataFrame, id_column: str) -> DataFrame:
-    same = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
-    kept = written(same.groupBy("component_id").agg(F.min(F.struct("row_key", "copies")).alias("k")).select("component_id", F.col("k.row_key").alias("kept_key"), "k.copies"), "kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("r_id"), row_key(id_column).alias("r_key"))
-    met = rows.join(kept, (rows["r_key"] == kept["kept_key"]) & rows["r_id"].eqNullSafe(kept["component_id"]), "left_semi")
-    # Wholly equal rows are rare; the texts are dealt again only if a kept row has such copies.
-    one = met if kept.where("copies > 1").isEmpty() else met.dropDuplicates(["r_id", "r_key"])
-    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    Roots with very many nodes are brought to them by broadcast (no more than MOST_LARGE can be that large), the others by join.
+    """
+    joined = written(nodes.join(reach.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", "root"), "reached")
+    linked, alone = joined.where("root IS NOT NULL"), joined.where("root IS NULL")
+    roots = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
+    most = max(1000, (roots.agg(F.sum("n")).first()[0] or 0) // MOST_LARGE)
+    large = F.broadcast(roots.where(F.col("n") > most).select(F.col("root").alias("l_root"), F.col("component_id").alias("l_id"), F.lit(True).alias("is_large")))
+    marked = linked.join(large, F.col("root") == F.col("l_root"), "left")
+    few = marked.where("is_large IS NULL").select("node", "root").join(roots.select("root", "component_id"), "root").select("node", "component_id")
+    many = marked.where("is_large").select("node", F.col("l_id").alias("component_id"))
+    all_named = few.unionAll(many).unionAll(alone.select("node", F.col("least").alias("component_id")))
+    found = written(all_named.withColumnRenamed("node", "n_node"), "components")
+    return rows.join(found, F.col("node") == F.col("n_node")).select("id", "row_key", "node", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
