@@ -38,6 +38,8 @@ MOST_BITS = 4
 #: Parts that a node's neighbours are taken in when components are found, and the most components that count as large.
 SALTS = 256
 MOST_LARGE = 100_000
+#: Links that a task contracts at once.
+EDGES = 20_000
 #: A bucket of at most so many fingerprints is compared row by row.
 SMALL = 8
 
@@ -236,8 +238,8 @@ def components(links: DataFrame) -> DataFrame:
 
     A large star links a node's larger neighbours to the least of all, a small star its smaller neighbours. A node's neighbours
     are taken in SALTS parts: each is linked to the least of its part, and these to the least of all, so a node with very many
-    neighbours is no single task. Every round is written to the shared folder; rounds end when the links no longer change, which
-    they do: an end only ever gives way to a smaller one.
+    neighbours is no single task. Before a round, links are contracted within tasks of about EDGES. Every round is written to the
+    shared folder; rounds end when the links no longer change, which they do: an end only ever gives way to a smaller one.
     """
 
     def stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -254,15 +256,55 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    was, now = None, state(edges)
-    while was != now:
+    edges, was = written(links.select("a", "b").distinct(), "links"), None
+    while was != (now := state(edges)):
+        tasks = now[0] // EDGES + 1
+        edges, was = contracted(edges, tasks), now
+        if tasks == 1:  # one task has seen all links
+            edges = written(edges, "links")
+            break
         edges = written(stars(stars(edges, True), False), "links")
-        was, now = now, state(edges)
     ends = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return ends.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links, EDGES at a time, as links of every node to the least node of its component among them."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        x, y, label, was = at[: len(a)], at[len(a) :], np.arange(len(nodes)), None
+        while was is None or (label != was).any():
+            was = label.copy()
+            np.minimum.at(label, x, was[y])
+            np.minimum.at(label, y, was[x])
+            label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[moved]]), pa.array(nodes[moved])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
+        n += batch.num_rows
+        if n >= EDGES:
+            yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """Fewer links with the same components: those of a task are replaced by stars. links: a written table."""
+    return links.select("a", "b").coalesce(tasks).mapInArrow(_contracted, "a long, b long")
+
+
+def some_roots(links: DataFrame) -> DataFrame:
+    """node and root of nodes with a link: nodes with the same root are in one component; the reverse need not hold."""
+    edges = contracted(links, links.count() // EDGES + 1)
+    both = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")))
+    return written(both.groupBy("node").agg(F.min("root").alias("root")), "roots")
+
+
 def grouped(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """id, row_key, fp and component_id (the smallest id reachable) of each row of docs."""
     rows = written(with_fingerprints(docs, id_column, shingle), "fingerprints")
@@ -276,7 +318,7 @@ def named(rows: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
 
     Roots with very many nodes are brought to them by broadcast (no more than MOST_LARGE can be that large), the others by join.
     """
-    joined = written(nodes.join(reach.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", "root"), "reached")
+    joined = nodes.join(reach.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", "root")
     linked, alone = joined.where("root IS NOT NULL"), joined.where("root IS NULL")
     roots = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
     most = max(1000, (roots.agg(F.sum("n")).first()[0] or 0) // MOST_LARGE)

@@ -7,10 +7,9 @@ share a pair of codewords of some pair of segments become candidates. A pair of
 d of 0 to 5). A separate 64-bit lane rules out candidates that differ in more than MOST_LANE of its bits, and the sets themselves
 decide, so every link is true.
 
-Texts with equal sets are one node. In a bucket, a node names up to CAPS[0] candidates of those before it in the order of hashes,
-and buckets that hold more are kept. Once components are known, only nodes of such buckets whose components differ are compared,
-again with a cap, then without one: a group of very many near copies costs about its rows, not its pairs, and no candidate is
-left out. Sets are compared in blocks: a block's first sets are held, the others stream past them.
+Texts with equal sets are one node. In a bucket, a node names at first up to FIRST candidates of those before it in the order of
+hashes, and buckets that hold more are kept. Once these are linked, all further candidates of such buckets are compared whose
+components still differ: a group of very many near copies costs about its rows, not its pairs, and no candidate is left out. Sets are compared in blocks: a block's first sets are held, the others stream past them.
 
 Rules for odd rows: null and empty texts and texts of white space have the empty set and are one group; a text of fewer than
 five words is one shingle; ids that are null are the largest; repeated rows are one node, and of equal rows one stays; an empty
@@ -19,7 +18,7 @@ table gives an empty result; further columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, written
-from .simhash import SEED, components, golay, named, shingle_hashes
+from .simhash import SEED, components, golay, named, shingle_hashes, some_roots
 
 #: Words of a shingle, and the least similarity of a link, as a fraction.
 SHINGLE = 5
@@ -38,8 +37,8 @@ PAIRS = 10
 SEGMENT = 23
 #: Most differing bits of the lane: of pairs of sets at 0.8 two in a thousand differ by more.
 MOST_LANE = 18
-#: Candidates that a node names in a bucket: at first, among components, and at last.
-CAPS = (4, 64, None)
+#: Candidates that a node names in a bucket before components are known.
+FIRST = 4
 #: A bucket of at most so many nodes names all its candidates at once.
 SMALL = 8
 #: First sets that a block of comparisons holds, and the others that go to one block.
@@ -144,7 +143,6 @@ CANDIDATES = "key int, a long, b long, lane long"
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node, lane), sorted -> pairs (a, b, without key), and the rows of buckets with further candidates (a is the node)."""
-    cap = CAPS[0]
     for key, node, lane in _buckets(batches, 3):
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
@@ -159,12 +157,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, more = lane[s : s + size], False
             for j in range(1, size):
                 found, at, step = [], 0, 64
-                while at < j and len(found) <= cap:  # most buckets end here: their first nodes are enough, or there are few
+                while at < j and len(found) <= FIRST:  # most buckets end here: their first nodes are enough, or there are few
                     found += (_near(own[at : min(j, at + step)], own[j]) + at).tolist()
                     at, step = at + step, 8 * step
-                more |= len(found) > cap
-                x.append(np.array(found[:cap], np.int64) + s)
-                y.append(np.full(len(found[:cap]), s + j))
+                more |= len(found) > FIRST
+                x.append(np.array(found[:FIRST], np.int64) + s)
+                y.append(np.full(len(found[:FIRST]), s + j))
             if more:
                 e = s + size
                 yield pa.RecordBatch.from_arrays([pa.array(key[s:e]), pa.array(node[s:e]), pa.nulls(size, pa.int64()), pa.array(own)], ["key", "a", "b", "lane"])
@@ -172,25 +170,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(node[i], node[j])
 
 
-def _between(cap: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a kept bucket whose components differ: each node outside the largest component names up to ``cap`` of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, lane, root in _buckets(batches, 4):
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-                roots, counts = np.unique(root[s:e], return_counts=True)
-                if len(roots) == 1:
-                    continue
-                own, ids, who = lane[s:e], node[s:e], root[s:e]
-                main = roots[np.argmax(counts)]
-                for j in np.flatnonzero(who != main).tolist():
-                    near = _near(own, own[j])
-                    near = near[(who[near] != who[j]) & ((who[near] == main) | (near < j))][:cap]
-                    if len(near):
-                        yield _pairs(ids[near], np.full(len(near), ids[j]))
-
-    return run
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, lane, root), sorted -> the candidates of a kept bucket that no known component holds both of."""
+    for key, node, lane, root in _buckets(batches, 4):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        x, y = [], []
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
+            roots, counts = np.unique(root[s:e], return_counts=True)
+            own, ids, who = lane[s:e], node[s:e], root[s:e]
+            main = roots[np.argmax(counts)]
+            for j in np.flatnonzero(who != main).tolist() if len(roots) > 1 else ():
+                near = _near(own, own[j])
+                near = near[(who[near] != who[j]) & ((who[near] == main) | (near < j))]
+                x.append(ids[near])
+                y.append(np.full(len(near), ids[j]))
+                if sum(map(len, x[-1000:])) > 100_000:
+                    yield _pairs(np.concatenate(x), np.concatenate(y))
+                    x, y = [], []
+        if x:
+            yield _pairs(np.concatenate(x), np.concatenate(y))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +256,12 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", shingle: int = SH
     found = written(dealt.mapInArrow(_candidates, CANDIDATES), "candidates")
     links = similar_links(found.where("key IS NULL").select("a", "b"), nodes, docs, id_column, shingle)
     kept = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "lane")
-    crowded = not kept.isEmpty()
-    reach = components(links)
-    for cap in CAPS[1:] if crowded else ():
-        roots = reach.select(F.col("node").alias("r_node"), "root")
+    if not kept.isEmpty():
+        roots = some_roots(links).withColumnRenamed("node", "r_node")
         met = kept.join(roots, kept["node"] == roots["r_node"], "left").select("key", "node", "lane", F.coalesce("root", "node").alias("root"))
-        pairs = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_between(cap), CANDIDATES)
-        more = similar_links(pairs.select("a", "b"), nodes, docs, id_column, shingle)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            reach = components(links)
+        pairs = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_between, CANDIDATES)
+        links = links.unionAll(similar_links(pairs.select("a", "b"), nodes, docs, id_column, shingle))
+    reach = components(links)
     return named(rows.select("id", "row_key", "node"), nodes.select("node", "least"), reach)
 
 
