@@ -62,29 +62,20 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", min_docs: int = MIN
 
 def run_lengths(gone: Column) -> Column:
     """Sorted positions of dropped lines as lengths of runs: kept, dropped, kept, dropped ... (what follows is kept)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("runs"))
-
-    def add(state: Column, pos: Column) -> Column:
-        last = F.try_element_at(state["runs"], F.lit(-1))
-        longer = F.concat(F.slice(state["runs"], 1, F.size(state["runs"]) - 1), F.array(last + 1))
-        more = F.concat(state["runs"], F.array(pos - state["at"], F.lit(1)))
-        joins = (F.size(state["runs"]) > 0) & (pos == state["at"])
-        return F.struct((pos + 1).alias("at"), F.when(joins, longer).otherwise(more).alias("runs"))
-
-    return F.aggregate(gone, start, add, lambda s: s["runs"])
+    none = F.array(F.lit(-2))
+    back = F.arrays_zip(gone.alias("p"), F.concat(none, F.slice(gone, F.lit(1), F.size(gone) - 1)).alias("q"))
+    ahead = F.arrays_zip(gone.alias("p"), F.concat(F.slice(gone, F.lit(2), F.size(gone)), none).alias("q"))
+    begin = F.transform(F.filter(back, lambda x: x["q"] + 1 != x["p"]), lambda x: x["p"])
+    end = F.transform(F.filter(ahead, lambda x: x["p"] + 1 != x["q"]), lambda x: x["p"] + 1)
+    runs = F.arrays_zip(begin.alias("b"), end.alias("e"), F.concat(F.array(F.lit(0)), F.slice(end, F.lit(1), F.size(end) - 1)).alias("last"))
+    return F.flatten(F.transform(runs, lambda r: F.array(r["b"] - r["last"], r["e"] - r["b"])))
 
 
 def kept_text(text: Column, bitmap: Column) -> Column:
     """The lines that the bitmap keeps, joined again."""
-    lines = F.split(text, "\n", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
-
-    def take(state: Column, i: Column) -> Column:
-        run = F.element_at(bitmap, i + 1)
-        more = F.when(i % 2 == 0, F.concat(state["kept"], F.slice(lines, state["at"] + 1, run))).otherwise(state["kept"])
-        return F.struct((state["at"] + run).alias("at"), more.alias("kept"))
-
-    kept = F.aggregate(F.sequence(F.lit(0), F.size(bitmap) - 1), start, take, lambda s: F.concat(s["kept"], F.slice(lines, s["at"] + 1, F.size(lines))))
+    dropped = F.flatten(F.transform(bitmap, lambda n, i: F.array_repeat(i % 2 == 1, n)))
+    lines = F.arrays_zip(F.split(text, "\n", -1).alias("line"), dropped.alias("gone"))
+    kept = F.transform(F.filter(lines, lambda x: ~F.coalesce(x["gone"], F.lit(False))), lambda x: x["line"])
     return F.when(bitmap.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
