@@ -3,7 +3,9 @@
 Each source's documents form one stream of words, which is packed into blocks of a fixed length. The mix is cut into output
 shards. Shards draw their source counts from an urn that holds one ticket for every slot a source is due, so a shard's counts
 are multinomial given that all shards together meet each source's target. A source's n-th slot goes through a pseudorandom
-permutation of that source's block numbers (another one in each pass over the source) and joins the block of that number.
+permutation of that source's block numbers (another one in each pass over the source) and joins the block of that number. The
+last block of a source, which may be short, stays last in each pass: so passes that are not cut short hold each word once and the
+targets are met to the word. A source whose target is below its size never yields that block.
 
 Rules for odd rows: a null or empty text has no words and is never taken; a null source is a source of its own, last in
 order; rows that repeat an id (or are wholly equal) are separate documents; an empty table gives an empty mix; further
@@ -24,26 +26,30 @@ SHARD = 1024
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_PASSES = 2
-#: Parts that a source's documents are dealt to, so that a source with most of the rows is no task of its own.
-PARTS = 4096
+#: Hexadecimal digits that name the part of a source's documents: 4096 parts, so that a source with most of the rows is no task.
+PART_DIGITS = 3
 #: Slots that one row of the slot table unfolds to.
 RUN = 4096
 #: Rounds of the permutation, and the prime that its round functions work in.
-ROUNDS = 12
+ROUNDS = 16
 PRIME = 2147483647
 
 
 def permuted(index: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom bijection of 0..n-1: swap-or-not rounds, each a reflection that half of the pairs take part in."""
+    """A pseudorandom bijection of 0..n-1: swap-or-not rounds, each a reflection that half of the pairs take part in. Pivots have
+    62 bits before they are reduced, so they spread over all of n."""
 
     key = key.cast("long")
 
     def turn(x: Column, r: Column) -> Column:
-        pivot = F.pmod(F.pmod(key + r * 7919, F.lit(PRIME)) * 48271 + 11 * r, F.lit(PRIME))
-        other = F.pmod(pivot - x, n)
-        y = F.pmod(F.greatest(x, other), F.lit(PRIME))
+        t = F.pmod(F.pmod(key + r * 7919, F.lit(PRIME)) * 48271 + 11 * r, F.lit(PRIME))
+        high = F.pmod(F.pmod(t * t, F.lit(PRIME)) * F.pmod(t + r * 977, F.lit(PRIME)) + t, F.lit(PRIME))
+        low = F.pmod(F.pmod(high * high, F.lit(PRIME)) * 16807 + 3 * r + 1, F.lit(PRIME))
+        other = F.pmod(F.pmod(high * (PRIME + 1) + low, n) - x, n)
+        larger = F.greatest(x, other)
+        y = F.pmod(larger + F.pmod(F.floor(larger / PRIME) * 48271, F.lit(PRIME)), F.lit(PRIME))
         square = F.pmod(y * y, F.lit(PRIME))
-        coin = F.pmod(F.pmod(square * F.pmod(pivot + 12345, F.lit(PRIME)), F.lit(PRIME)) + y * 69621 % PRIME + pivot, F.lit(PRIME))
+        coin = F.pmod(F.pmod(square * F.pmod(low + 12345, F.lit(PRIME)), F.lit(PRIME)) + y * 69621 % PRIME + high, F.lit(PRIME))
         return F.when(F.pmod(F.floor(coin / 1024), F.lit(2)) == 1, other).otherwise(x)
 
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), lambda x, r: turn(x, r).cast("long"))).otherwise(F.lit(0).cast("long"))
@@ -51,13 +57,13 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
 
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id, source, size, and where the row stands: the part of its source and its rank key in there."""
-    key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(text_of())))
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
         key.alias("rank_key"),
-        F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("part"),
+        F.conv(F.substring(key, 1, PART_DIGITS), 16, 10).cast("int").alias("part"),
     )
 
 
@@ -192,16 +198,19 @@ def queries() -> dict:
 
 def _permuted_sql(index: str, n: str, key: str) -> str:
     """permuted() in DuckDB: the rounds as a fold over their numbers."""
-    pivot = f"((((({key}) + r * 7919) % {PRIME}) * 48271 + 11 * r) % {PRIME})"
-    other = f"((({pivot} - x) % ({n}) + ({n})) % ({n}))"
-    y = f"(greatest(x, {other}) % {PRIME})"
-    coin = f"((((({y} * {y}) % {PRIME}) * (({pivot} + 12345) % {PRIME})) % {PRIME} + ({y} * 69621) % {PRIME} + {pivot}) % {PRIME})"
+    t = f"((((({key}) + r * 7919) % {PRIME}) * 48271 + 11 * r) % {PRIME})"
+    high = f"((({t} * {t} % {PRIME}) * (({t} + r * 977) % {PRIME}) + {t}) % {PRIME})"
+    low = f"((({high} * {high} % {PRIME}) * 16807 + 3 * r + 1) % {PRIME})"
+    other = f"(((({high} * {PRIME + 1} + {low}) % ({n}) - x) % ({n}) + ({n})) % ({n}))"
+    larger = f"greatest(x, {other})"
+    y = f"(({larger} + (({larger} // {PRIME}) * 48271) % {PRIME}) % {PRIME})"
+    coin = f"((((({y} * {y}) % {PRIME}) * (({low} + 12345) % {PRIME})) % {PRIME} + ({y} * 69621) % {PRIME} + {high}) % {PRIME})"
     return f"CASE WHEN ({n}) > 1 THEN list_reduce(range(1, {ROUNDS + 1}), lambda x, r: CASE WHEN ({coin} // 1024) % 2 = 1 THEN {other} ELSE x END, ({index})::BIGINT) ELSE 0 END"
 
 
 ORACLE = rf"""
 WITH docs AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS rk,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS rk,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 src AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)),
