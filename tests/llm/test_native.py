@@ -65,6 +65,14 @@ def test_permutation_is_a_bijection(spark):
         assert sorted(r.p for r in rows) == list(range(n))
 
 
+def test_permutation_spreads_over_large_ranges(spark):
+    n = 10**11
+    rows = spark.range(20000).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()
+    tenths = Counter(r.p * 10 // n for r in rows)
+    assert len({r.p for r in rows}) == 20000 and all(0 <= r.p < n for r in rows)
+    assert all(1700 < tenths[k] < 2300 for k in range(10))
+
+
 def test_shard_counts_follow_targets(corpus):
     docs, _ = corpus
     _, slots = mixing.mix_plan(docs, block=16, shard=256)
@@ -179,6 +187,19 @@ def test_cutoffs_limit_false_rejection(spark):
     assert all(got[5000 + i] for i in range(5))
 
 
+def test_strata_with_few_labels(spark):
+    """47 good labels are enough for cutoffs, 30 are not, and both strata are listed."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "fr" if i < 47 else "de") for i in range(77)]
+    rows += [(100 + i, " ".join(f"v{i}x{k}!" for k in range(40)), lang) for i, lang in enumerate(("fr", "de"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(77)], "doc_id long, quality int, toxic int")
+    cut = {r.stratum: r for r in quality.cutoffs(quality.features(docs), labels).collect()}
+    assert (cut["fr"].n, cut["de"].n) == (47, 30)
+    assert cut["fr"].cut_exclamations == 0.05 and cut["de"].cut_exclamations is None
+    got = {r.id: r.kept for r in quality.judged(docs, labels).collect()}
+    assert not got[100] and got[101] and all(got[i] for i in range(77))
+
+
 def plain_lines(rows, min_docs=10):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
@@ -206,3 +227,11 @@ def test_line_dedup(odd, empty, texts, spark):
     docs = spark.createDataFrame(mixed, "doc_id long, text string")
     got = line_dedup.dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("h")).collect()
     assert Counter(map(tuple, got)) == Counter(plain_lines(mixed))
+
+
+def test_very_many_alternate_lines(spark):
+    """100,000 lines of which every other one goes; linear in the lines."""
+    text = "\n".join("same" if k % 2 else f"own {k}" for k in range(100_000))
+    rows = [(0, text)] + [(i, "same") for i in range(1, 12)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("row.doc_id = 0").select("n_dropped", "line_text").first()
+    assert got.n_dropped == 50_000 and got.line_text == "\n".join(f"own {k}" for k in range(0, 100_000, 2))
