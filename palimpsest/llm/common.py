@@ -25,11 +25,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: the session's checkpoint folder; a folder of its own only where none is set."""
+    """The folder that every executor reaches: the session's checkpoint folder; where none is set, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_to.get() if set_to.isDefined() else "/tmp/checkpoints/palimpsest"
+        named = set_to.get() if set_to.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/palimpsest"
     return named.rstrip("/")
 
 

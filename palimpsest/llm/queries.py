@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import importlib
+from . import licences, line_dedup, mixing, ogg, quality, secret_scan, sentencepiece_scan, simhash, substring_dedup, url_filter
 
 #: Modules with queries() and oracle_sql(), in the order of their operators.
-MODULES = ("mixing", "licences", "ogg", "url_filter", "substring_dedup", "quality", "line_dedup", "simhash", "secret_scan", "sentencepiece_scan")
+MODULES = (mixing, licences, ogg, url_filter, substring_dedup, quality, line_dedup, simhash, secret_scan, sentencepiece_scan)
 
 
 def _all(what: str) -> dict:
     found: dict = {}
-    for name in MODULES:
-        found |= getattr(importlib.import_module(f"palimpsest.llm.{name}"), what)()
+    for module in MODULES:
+        found |= getattr(module, what)()
     return found
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from palimpsest.llm import simhash
+from palimpsest.llm import similar_texts, simhash
 
 SHAPE = "doc_id long, text string"
 
@@ -39,13 +39,34 @@ def test_edited_copies_are_found(spark):
     group = [f"big{k}" for k in range(200)]
     rows += [(1000 + k, edited(group, rng, rng.choice((1, 2, 3, 4)))) for k in range(60)]
     rng.shuffle(rows)
-    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SHAPE).repartition(5), "")
-    want = plain_kept(rows)
-    assert sorted(r.doc_id for r in got.collect()) == want
-    four_bits = simhash.brute_force([i for i, _ in rows], [t for _, t in rows], simhash.STAGE_SHINGLE)
-    assert len(want) < len(set(four_bits.component_id))
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SHAPE).repartition(5), "").collect()}
+    want = set(plain_kept(rows))
+    # Links are true, so nothing goes that should stay; of the rows that should go a few in a hundred may be missed.
+    assert want <= got
+    assert len(got - want) <= 0.03 * (len(rows) - len(want))
 
 
-def test_order_of_shingles_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SAMPLED", 1)
+def test_groups_larger_than_a_bucket_lose_no_candidate(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "FIRST", 1)
+    monkeypatch.setattr(similar_texts, "HELD", 2)
+    monkeypatch.setattr(similar_texts, "STREAMED", 3)
     test_edited_copies_are_found(spark)
+
+
+def test_odd_rows(odd, empty, texts):
+    kept = similar_texts.representatives(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").where("doc_id IS NOT NULL").collect()) == [i for i in plain_kept([t for t in texts if t[0] is not None])]
+    assert similar_texts.representatives(empty).count() == 0
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "EDGES", 40)
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 700)
+    links = list(zip(names[:200], names[1:200])) + [(names[300], x) for x in names[301:500]] + [(names[500 + k], names[500 + k // 2]) for k in range(1, 200)]
+    rows = [(min(x), max(x)) for x in links]
+    rng.shuffle(rows)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = {x: min(g) for g in (names[:200], names[300:500], names[500:]) for x in g}
+    assert got == want

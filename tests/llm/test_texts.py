@@ -220,10 +220,6 @@ def test_simhash_components(spark, odd, empty):
     want = simhash.brute_force([i for i, _ in rows], [t for _, t in rows])
     assert {r.id: (f"{r.fp % (1 << 64):016x}", r.component_id) for r in got} == {r.doc_id: (r.fingerprint, r.component_id) for r in want.itertuples()}
     assert simhash.grouped(odd).count() == odd.count() and simhash.grouped(empty).count() == 0
-    kept = simhash.representatives(odd, shingle=4)
-    assert kept.columns == odd.columns
-    assert kept.count() == simhash.grouped(odd).select("component_id").distinct().count()
-    assert simhash.representatives(empty).count() == 0
 
 
 def test_large_group_links_are_a_forest():
