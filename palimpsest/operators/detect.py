@@ -10,7 +10,7 @@ from palimpsest.sources.patterns import Pattern, load
 from .advanced import advanced_spans
 from .overlap import resolved
 from .secrets import secret_spans
-from .spans import no_spans, pattern_spans
+from .spans import no_spans, pattern_spans, pattern_sql, quoted
 
 #: Default patterns by what every text with a match of theirs holds: a part of the text, or an expression that is quick to
 #: look for. One test spares most texts the whole group.
@@ -31,27 +31,38 @@ FORMS = {
 }
 
 
-def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: Column | None = None) -> Column:
-    """Spans of all detectors in one array, overlapping or not. contextual: further spans, such as a model's."""
+def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: Column | None = None, sql: str | None = None) -> Column:
+    """Spans of all detectors in one array, overlapping or not. contextual: further spans, such as a model's.
+
+    sql: the text as SQL, where it has a name; patterns are then one expression in SQL, which is built in a fraction of the time.
+    """
     patterns = load() if patterns is None else patterns
     loaded = {p.name: p for p in patterns}
     shipped = {p.name: p.regex for p in load()}
     default = {n: p for n, p in loaded.items() if shipped.get(n) == p.regex}
     grouped = {n for names in FORMS.values() for n in names} | set(PARTS)
+    others = [p for n, p in loaded.items() if n not in default or n not in grouped]
     found = [secret_spans(text), advanced_spans(text, loaded)]
-    found += [pattern_spans(text, default[n], F.contains(text, F.lit(part))) for n, part in PARTS.items() if n in default]
-    for form, names in FORMS.items():
-        group = [pattern_spans(text, default[n]) for n in names if n in default]
-        if group:
-            found.append(F.when(text.rlike(form), F.concat(*group)).otherwise(no_spans()))
-    found += [pattern_spans(text, p) for n, p in loaded.items() if n not in default or n not in grouped]
+    if sql is not None:
+        parts = [pattern_sql(sql, default[n], f"contains({sql}, {quoted(part)})") for n, part in PARTS.items() if n in default]
+        for form, names in FORMS.items():
+            parts += [pattern_sql(sql, default[n], f"{sql} RLIKE {quoted(form)}") for n in names if n in default]
+        parts += [pattern_sql(sql, p) for p in others]
+        found += [F.expr(f"concat({', '.join(parts)})")] if parts else []
+    else:
+        found += [pattern_spans(text, default[n], F.contains(text, F.lit(part))) for n, part in PARTS.items() if n in default]
+        for form, names in FORMS.items():
+            group = [pattern_spans(text, default[n]) for n in names if n in default]
+            if group:
+                found.append(F.when(text.rlike(form), F.concat(*group)).otherwise(no_spans()))
+        found += [pattern_spans(text, p) for p in others]
     return F.concat(*found, *([contextual] if contextual is not None else []))
 
 
 def detect(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None, out: str = "violations", contextual: str | None = None) -> DataFrame:
     """df with the spans that stay, by position; a null text has none. Narrow projections only."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumn(out, raw_spans(t, patterns, F.col(contextual) if contextual else None))
+    found = df.withColumn(out, raw_spans(t, patterns, F.col(contextual) if contextual else None, f"coalesce({text}, '')"))
     return found.withColumn(out, resolved(F.col(out)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.sources.patterns import Pattern
+from palimpsest.sources.stored import stored
 
 from .detect import detect, one_by_one
 from .rewrite import label, replacement, rewritten_spans, spliced
@@ -80,9 +81,10 @@ def reverse_map(tokens: DataFrame, subtokens: DataFrame) -> DataFrame:
 def tokenize(df: DataFrame, text: str = "text", session: str = "session_id", order: str = "request_order", patterns: list[Pattern] | None = None, max_tokens: int = MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(df with sanitized_text, redacted_count, tokenized_count, safe and error; the vault's tokens).
 
-    (session, order) names a request. A request with a value that has no token has an error and no text.
+    (session, order) names a request. A request with a value that has no token has an error and no text. Detection runs once: its
+    result is written, and three branches read it.
     """
-    detected = detect(df, text, patterns)
+    detected = stored(detect(df, text, patterns), "detected")
     tokens = vault_tokens(sightings(detected, session, order), max_tokens)
     keyed = detected.select(F.col(session).alias("session_id"), F.col(order).alias("req"), F.array_distinct(F.transform(tokenized_spans(F.col("violations")), lambda x: x["matched"])).alias("v"))
     keyed = one_by_one(keyed, "v", "session_id", "req").withColumnRenamed("x", "matched")
