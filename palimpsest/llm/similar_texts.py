@@ -50,6 +50,9 @@ _WORDS = -(-(2 * PAIRS * SEGMENT) // 64) + 1
 #: Odd constants that turn a shingle's hash into independent lanes.
 _TURNS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(_WORDS)], np.uint64)
 
+#: A byte's bits as eight bytes, the first bit first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes, ascending."""
@@ -59,11 +62,11 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """_WORDS words of 64 bits, the last of them the lane; a bit is set if more than half of the hashes' lanes have it."""
     ones = np.zeros(64 * _WORDS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096, None] * _TURNS
+    for at in range(0, len(hashes), 255):  # a byte counts the ones of a bit
+        x = hashes[at : at + 255, None] * _TURNS
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        ones += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int32)
+        ones += _BITS[x.astype(">u8").view(np.uint8)].reshape(len(x), -1).sum(axis=0, dtype=np.uint64).view(np.uint8)
     return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
 
 
