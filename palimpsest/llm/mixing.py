@@ -14,6 +14,8 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,25 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
 
     key = key.cast("long")
 
-    def turn(x: Column, r: Column) -> Column:
-        t = F.pmod(F.pmod(key + r * 7919, F.lit(PRIME)) * 48271 + 11 * r, F.lit(PRIME))
-        high = F.pmod(F.pmod(t * t, F.lit(PRIME)) * F.pmod(t + r * 977, F.lit(PRIME)) + t, F.lit(PRIME))
-        low = F.pmod(F.pmod(high * high, F.lit(PRIME)) * 16807 + 3 * r + 1, F.lit(PRIME))
-        other = F.pmod(F.pmod(high * (PRIME + 1) + low, n) - x, n)
+    prime = F.lit(PRIME)
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def chosen(x: Column, high: Column, low: Column, other: Column) -> Column:
         larger = F.greatest(x, other)
-        y = F.pmod(larger + F.pmod(F.floor(larger / PRIME) * 48271, F.lit(PRIME)), F.lit(PRIME))
-        square = F.pmod(y * y, F.lit(PRIME))
-        coin = F.pmod(F.pmod(square * F.pmod(low + 12345, F.lit(PRIME)), F.lit(PRIME)) + y * 69621 % PRIME + high, F.lit(PRIME))
+        y = F.pmod(larger + F.pmod(F.floor(larger / PRIME) * 48271, prime), prime)
+        coin = let(y, lambda y: F.pmod(F.pmod(F.pmod(y * y, prime) * F.pmod(low + 12345, prime), prime) + y * 69621 % PRIME + high, prime))
         return F.when(F.pmod(F.floor(coin / 1024), F.lit(2)) == 1, other).otherwise(x)
 
+    def turn(x: Column, r: Column) -> Column:
+        t = F.pmod(F.pmod(key + r * 7919, prime) * 48271 + 11 * r, prime)
+        high = let(t, lambda t: F.pmod(F.pmod(t * t, prime) * F.pmod(t + r * 977, prime) + t, prime))
+        low = lambda h: F.pmod(F.pmod(h * h, prime) * 16807 + 3 * r + 1, prime)
+        other = lambda h, w: F.pmod(F.pmod(h * (PRIME + 1) + w, n) - x, n)
+        return let(high, lambda h: let(low(h), lambda w: let(other(h, w), lambda o: chosen(x, h, w, o))))
+
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), lambda x, r: turn(x, r).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
