@@ -33,7 +33,7 @@ PART_DIGITS = 3
 #: Slots that one row of the slot table unfolds to.
 RUN = 4096
 #: Rounds of the permutation, and the prime that its round functions work in.
-ROUNDS = 16
+ROUNDS = 12
 PRIME = 2147483647
 
 
