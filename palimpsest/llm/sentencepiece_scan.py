@@ -3,12 +3,14 @@
 A model file's pieces and scores fix one segmentation of a text. Whether two neighbouring pieces may stand side by side depends
 on these two alone: a sequence of pieces is the encoding of its text exactly if every two neighbours encode to themselves. So
 the segmentation is the one path through the lattice of pieces whose steps all weigh 0, where a step between pieces that don't
-fit weighs minus infinity: a max-plus product. A text of up to CHUNK characters is one chunk with a known start. A longer one
-is cut into chunks; a state at a cut is the piece that ends at it or crosses it, as (characters before, characters behind). Each
-chunk yields its transfer matrix from entry states to exit states on its own; products of matrices, which are associative, give
-the states at every cut; then every chunk is traced back on its own between its two states. Inside a chunk pieces can't cross
-the start of a run of spaces, so only what lies before the first and after the last such start takes part in the matrix; what
-lies between is encoded at once.
+fit weighs minus infinity: a max-plus product. A text of up to CHUNK characters is one chunk with known states at both ends. A
+longer one is cut into chunks; a state at a cut is the piece that ends at it or crosses it, as (characters before, characters
+behind). Each chunk yields its transfer matrix from entry states to exit states on its own; a tree of products of neighbours
+gives the whole text's matrix, and going down the tree again the state at every cut; then every chunk is traced back on its own
+between its two states. Up to BLOCK chunks stay in the task of their row. The chunks of longer texts are rows of their own, and
+each level of the tree is a shuffle in which BLOCK neighbours meet, so no task holds more than that of one text. Inside a chunk
+pieces can't cross the start of a run of spaces, so only what lies before the first and after the last such start takes part in
+the matrix; the words between are encoded by the SentencePiece library.
 
 The text is encoded as the model asks: spaces as U+2581 after one more at the front, nothing else normalised; characters that
 no piece has become their bytes' pieces. Decoding joins the pieces; it returns the text, with a space for each U+2581 in it.
@@ -22,7 +24,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import batched, chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ from .common import row_key, table, text_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk. A last chunk has up to MARGIN more.
-CHUNK = 65536
+CHUNK = 2048
 MARGIN = 64
+#: Chunks of one text that a task multiplies.
+BLOCK = 32
 SPACE = "▁"
 #: Characters or ids that a worker handles at once.
 PART = 1 << 20
@@ -46,6 +50,8 @@ PART = 1 << 20
 REMEMBERED = 1 << 20
 
 State = tuple[int, int]
+#: Entry states, and exit state -> entries from which a path of weight 0 leads to it, as bits; anything else weighs minus infinity.
+Matrix = tuple[list[State], dict[State, int]]
 
 
 class Pieces:
@@ -167,16 +173,15 @@ class Chunk:
     def _exits(self, ends: dict[int, list[tuple[int, int]]]) -> dict[State, int]:
         return {(a - self.end, b - self.end): m for b, nodes in ends.items() if b >= self.end and not (self.last and b > self.end) for a, m in nodes if 0 <= a < self.end}
 
-    def matrix(self) -> dict[State, int]:
-        """Exit state -> entries from which a path of weight 0 leads to it, as bits; anything else weighs minus infinity."""
+    def matrix(self) -> Matrix:
         states = self.entries()
         if self.inner is None:
-            return self._exits(self._from_entries(states, self.end))
+            return states, self._exits(self._from_entries(states, self.end))
         head, tail = self.inner
         bits = 0
         for a, m in (self._from_entries(states, head) if head > self.start or not self.first else {head: [(-1, 1)]}).get(head, []):
             bits |= m
-        return {state: bits for state in self._exits(self._reach({tail: [(-1, 1)]}, self.end))}
+        return states, {state: bits for state in self._exits(self._reach({tail: [(-1, 1)]}, self.end))}
 
     def _path(self, ends: dict[int, list[tuple[int, int]]], start: int, goal: tuple[int, int]) -> list[int]:
         """Ids of the pieces from a place to the piece goal (start, end), which is the last."""
@@ -205,20 +210,58 @@ class Chunk:
         return ids + self._path(self._reach({tail: [(-1, 1)]}, self.end), tail, goal)
 
 
-def states_of(matrices: list[tuple[list[State], dict[State, int]]]) -> list[tuple[State, State]]:
-    """(entry, exit) of every chunk: products from the left reach every cut, then the last state leads back."""
-    reached = [{(0, 0)}]
-    for entries, matrix in matrices:
-        bits = sum(1 << i for i, e in enumerate(entries) if e in reached[-1])
-        reached.append({leave for leave, m in matrix.items() if m & bits})
-    (state,) = reached[-1]
-    out = []
-    for k in range(len(matrices) - 1, -1, -1):
-        entries, matrix = matrices[k]
-        (before,) = [e for i, e in enumerate(entries) if e in reached[k] and matrix[state] >> i & 1]
-        out.append((before, state))
-        state = before
-    return out[::-1]
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The matrix of two neighbours: associative."""
+    (entries, first), (between, second) = a, b
+    cells = {}
+    for leave, m in second.items():
+        bits = 0
+        for i, state in enumerate(between):
+            if m >> i & 1:
+                bits |= first.get(state, 0)
+        if bits:
+            cells[leave] = bits
+    return entries, cells
+
+
+def tree(matrices: list[Matrix]) -> list[list[Matrix]]:
+    """Levels of products of neighbours, up to the one matrix of them all."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([product(*low[i : i + 2]) if i + 1 < len(low) else low[i] for i in range(0, len(low), 2)])
+    return levels
+
+
+def outer(matrix: Matrix) -> tuple[State, State]:
+    """States at the ends of a whole text: one path leads through it."""
+    ((start,), cells) = matrix
+    (end,) = cells
+    return start, end
+
+
+def states_of(levels: list[list[Matrix]], entry: State, leave: State) -> list[tuple[State, State]]:
+    """(entry, exit) of every matrix at the foot of a tree, given those of its top."""
+    spans = [(entry, leave)]
+    for low in levels[-2::-1]:
+        found = []
+        for j, (e, x) in enumerate(spans):
+            if 2 * j + 1 == len(low):
+                found.append((e, x))
+                continue
+            (entries, first), (between, second) = low[2 * j : 2 * j + 2]
+            at = entries.index(e)
+            (state,) = [s for i, s in enumerate(between) if second[x] >> i & 1 and first.get(s, 0) >> at & 1]
+            found += [(e, state), (state, x)]
+        spans = found
+    return spans
+
+
+def scanned(p: Pieces, text: str, chunk: int) -> list[int]:
+    """Ids of a text whose chunks are all at hand."""
+    chunks = [Chunk(p, left, body, right) for _, left, body, right in cut_text(escaped(text), p.longest, chunk)]
+    levels = tree([c.matrix() for c in chunks])
+    return [i for c, (e, x) in zip(chunks, states_of(levels, *outer(levels[-1][0]))) for i in c.trace(e, x)]
 
 
 def _send(spark: SparkSession, model: str) -> str:
@@ -257,57 +300,79 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
 
-def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """docs as ``row`` with ``ids`` (array<int>)."""
     model = _send(docs.sparkSession, model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("t"), F.col(id_column).alias("id"), row_key(id_column).alias("key"))
-    giant = F.length("t") > chunk
+    giant = F.length("t") > chunk * block
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
             for part in _parts(b, pc.utf8_length(b.column(0).field("text"))):
-                texts = part.column(0).field("text")
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(p.library.encode([t or "" for t in texts.to_pylist()], out_type=int, num_threads=1))], ["row", "ids"])
+                texts = [t or "" for t in part.column(0).field("text").to_pylist()]
+                short = iter(p.library.encode([t for t in texts if len(t) <= chunk], out_type=int, num_threads=1))
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists([next(short) if len(t) <= chunk else scanned(p, t, chunk) for t in texts])], ["row", "ids"])
 
     kind = rows.schema["row"].dataType
     short = rows.where(~giant).select("row").mapInArrow(encode, T.StructType([T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     long = rows.where(giant)
-    ids = _scanned(long.select("id", "key", "t"), model, chunk)
+    ids = _spread(long.select("id", "key", "t"), model, chunk, block)
     met = long.select("row", "id", "key").join(ids, (long["key"] == ids["k_key"]) & long["id"].eqNullSafe(ids["k_id"])).select("row", "ids")
     return short.unionByName(met)
 
 
-def _scanned(texts: DataFrame, model: str, chunk: int) -> DataFrame:
-    """k_id, k_key, ids of giant texts (id, key, t)."""
+def _to_json(matrix: Matrix) -> str:
+    entries, cells = matrix
+    return json.dumps([entries, [[*s, str(m)] for s, m in sorted(cells.items())]])
+
+
+def _from_json(text: str) -> Matrix:
+    entries, cells = json.loads(text)
+    return [tuple(e) for e in entries], {(a, b): int(m) for a, b, m in cells}
+
+
+def _spread(texts: DataFrame, model: str, chunk: int, block: int) -> DataFrame:
+    """k_id, k_key, ids of giant texts (id, key, t), whose chunks are rows."""
+    spark = texts.sparkSession
     kind, id_type = texts.schema["id"].dataType.simpleString(), to_arrow_type(texts.schema["id"].dataType)
-    place = ["id", "key", "n"]
+    place, spot = ["id", "key", "n"], f"id {kind}, key long, n long"
+    span = pa.list_(pa.int32())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = pieces(model).longest
         for b in batches:
             for i in range(b.num_rows):
-                found = list(cut_text(escaped(b.column(2)[i].as_py()), longest, chunk))
-                own = pa.array([i] * len(found))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *(pa.array(x) for x in zip(*found))], [*place, "l", "body", "r"])
+                for found in batched(cut_text(escaped(b.column(2)[i].as_py()), longest, chunk), PART // chunk + 1):
+                    own = pa.array([i] * len(found))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *(pa.array(x) for x in zip(*found))], [*place, "l", "body", "r"])
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            out = []
-            for left, body, right in zip(*(b.column(k).to_pylist() for k in (3, 4, 5))):
-                c = Chunk(p, left, body, right)
-                out.append(json.dumps([c.entries(), [[*s, str(m)] for s, m in sorted(c.matrix().items())]]))
+            out = [_to_json(Chunk(p, *parts).matrix()) for parts in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.string())], [*place, "matrix"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by text and chunk number; a text's matrices are held until the next text begins."""
-        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
-        for (i, key), group in groupby(rows, key=lambda r: r[:2]):
-            one = {n: json.loads(m) for _, _, n, m in group}
-            found = states_of([([tuple(e) for e in entries], {(a, b): int(m) for a, b, m in cells}) for entries, cells in one.values()])
-            columns = [[i] * len(one), [key] * len(one), list(one), [list(e) for e, _ in found], [list(x) for _, x in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], [*place, "entry", "leave"])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Rows come sorted by text and number; a block's are held until the next begins, repeated rows once."""
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        return ((k, list({r[2]: r for r in group}.values())) for k, group in groupby(rows, key=lambda r: (r[0], r[1], r[2] // block)))
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in blocks(batches):
+            top = tree([_from_json(r[3]) for r in rows])[-1][0]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*k, _to_json(top)), (id_type, pa.int64(), pa.int64(), pa.string()))], [*place, "matrix"])
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [outer(_from_json(m)) for m in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([list(e[i]) for e in ends], span) for i in (0, 1))], [*place, "entry", "leave"])
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (i, key, _), rows in blocks(batches):
+            found = states_of(tree([_from_json(r[3]) for r in rows]), tuple(rows[0][4]), tuple(rows[0][5]))
+            columns = [[i] * len(rows), [key] * len(rows), [r[2] for r in rows], [list(e) for e, _ in found], [list(x) for _, x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int64(), pa.int64(), span, span))], [*place, "entry", "leave"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -315,13 +380,21 @@ def _scanned(texts: DataFrame, model: str, chunk: int) -> DataFrame:
             out = [Chunk(p, left, body, right).trace(tuple(e), tuple(x)) for left, body, right, e, x in zip(*(b.column(k).to_pylist() for k in range(3, 8)))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.list_(pa.int32()))], [*place, "part"])
 
-    chunks = written(texts.mapInArrow(cut, f"id {kind}, key long, n long, l string, body string, r string").repartition("id", "key", "n"), "chunks")
-    matrices = chunks.mapInArrow(matrix, f"id {kind}, key long, n long, matrix string")
-    dealt = matrices.repartition(int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "key").sortWithinPartitions(*place)
-    states = dealt.mapInArrow(scan, f"id {kind}, key long, n long, entry array<int>, leave array<int>")
-    s = states.select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), F.col("n").alias("s_n"), "entry", "leave")
-    met = chunks.join(s, (F.col("key") == F.col("s_key")) & (F.col("n") == F.col("s_n")) & F.col("id").eqNullSafe(F.col("s_id")))
-    parts = met.select(*place, "l", "body", "r", "entry", "leave").mapInArrow(trace, f"id {kind}, key long, n long, part array<int>")
+    def met(rows: DataFrame, spans: DataFrame, above: Column) -> DataFrame:
+        s = spans.select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), F.col("n").alias("s_n"), "entry", "leave")
+        return rows.join(s, (F.col("key") == F.col("s_key")) & (above == F.col("s_n")) & F.col("id").eqNullSafe(F.col("s_id"))).drop("s_id", "s_key", "s_n")
+
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.floor(F.col("n") / block)
+    in_blocks = lambda df: df.repartition(dealt, "id", "key", number).sortWithinPartitions(*place)
+    chunks = written(texts.mapInArrow(cut, f"{spot}, l string, body string, r string").repartition(*place), "chunks")
+    levels = [written(chunks.mapInArrow(matrix, f"{spot}, matrix string"), "matrices")]
+    while (levels[-1].agg(F.max("n")).first()[0] or 0) > 0:
+        levels.append(written(in_blocks(levels[-1]).mapInArrow(up, f"{spot}, matrix string"), "products"))
+    states = levels.pop().mapInArrow(top, f"{spot}, entry array<int>, leave array<int>")
+    for low in reversed(levels):
+        states = in_blocks(met(low, states, number)).mapInArrow(down, f"{spot}, entry array<int>, leave array<int>")
+    parts = met(chunks, states, F.col("n")).mapInArrow(trace, f"{spot}, part array<int>")
     whole = parts.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("n", "part"))).alias("parts"))
     return whole.select(F.col("id").alias("k_id"), F.col("key").alias("k_key"), F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"))
 

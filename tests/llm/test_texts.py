@@ -244,14 +244,33 @@ TEXTS = [
 def test_scan_equals_the_whole_encoding(chunk):
     p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
     for text in TEXTS:
-        chunks = [sentencepiece_scan.Chunk(p, left, body, right) for _, left, body, right in sentencepiece_scan.cut_text(sentencepiece_scan.escaped(text), p.longest, chunk)]
-        states = sentencepiece_scan.states_of([(c.entries(), c.matrix()) for c in chunks])
-        assert [i for c, (a, b) in zip(chunks, states) for i in c.trace(a, b)] == p.encode(text)
+        assert sentencepiece_scan.scanned(p, text, chunk) == p.encode(text)
+
+
+def test_products_are_associative():
+    p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
+    multiply = sentencepiece_scan.product
+    for text in TEXTS:
+        m = [sentencepiece_scan.Chunk(p, *parts).matrix() for _, *parts in sentencepiece_scan.cut_text(sentencepiece_scan.escaped(text), p.longest, 90)]
+        left, right = m[0], m[-1]
+        for k in range(1, len(m)):
+            left, right = multiply(left, m[k]), multiply(m[-1 - k], right)
+        assert left == right == sentencepiece_scan.tree(m)[-1][0] and len(left[1]) == 1
+
+
+@pytest.mark.parametrize("block", (2, 7))
+def test_chunks_that_are_rows_equal_the_whole_encoding(spark, block):
+    """Trees of several levels, over a text of 100,000 characters and texts that repeat."""
+    p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
+    texts = [*TEXTS, TEXTS[-1], "wide is the way " * 6250]
+    docs = spark.createDataFrame([(k % 11, t) for k, t in enumerate(texts)] + [(None, TEXTS[4])], "doc_id long, text string")
+    got = sentencepiece_scan.encoded(docs, chunk=100, block=block).select("row.text", "ids").collect()
+    assert len(got) == len(texts) + 1 and all(list(r.ids) == p.encode(r.text) for r in got)
 
 
 def test_sentencepiece_columns(odd, empty, spark):
     p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
-    got = sentencepiece_scan.encoded(odd, chunk=400).select("row.doc_id", "row.text", "ids", sentencepiece_scan.decoded(F.col("ids")).alias("back")).collect()
+    got = sentencepiece_scan.encoded(odd, chunk=400, block=8).select("row.doc_id", "row.text", "ids", sentencepiece_scan.decoded(F.col("ids")).alias("back")).collect()
     assert len(got) == odd.count()
     for r in got:
         assert list(r.ids) == p.encode(r.text or "") and r.back == (r.text or "").replace("▁", " ")
