@@ -288,6 +288,12 @@ def _id_lists(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
 
 
+def _texts_of(p: Pieces, column: pa.Array) -> pa.Array:
+    """Texts of lists of ids."""
+    ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return pa.array([p.library.decode(ids[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())], pa.string())
+
+
 def cut_text(text: str, longest: int, chunk: int) -> Iterator[tuple[int, str, str, str]]:
     """(number, left, body, right) of the chunks of an escaped text."""
     n = max(1, (len(text) - MARGIN) // chunk)
@@ -300,8 +306,8 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
 
-def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """docs as ``row`` with ``ids`` (array<int>)."""
+def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK, back: bool = False) -> DataFrame:
+    """docs as ``row`` with ``ids`` (array<int>); with ``back`` also the texts that decoding the ids gives, in the workers that encode."""
     model = _send(docs.sparkSession, model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("t"), F.col(id_column).alias("id"), row_key(id_column).alias("key"))
     giant = F.length("t") > chunk * block
@@ -312,14 +318,17 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", model: str = MODEL, chun
             for part in _parts(b, pc.utf8_length(b.column(0).field("text"))):
                 texts = [t or "" for t in part.column(0).field("text").to_pylist()]
                 short = iter(p.library.encode([t for t in texts if len(t) <= chunk], out_type=int, num_threads=1))
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists([next(short) if len(t) <= chunk else scanned(p, t, chunk) for t in texts])], ["row", "ids"])
+                ids = _id_lists([next(short) if len(t) <= chunk else scanned(p, t, chunk) for t in texts])
+                columns = {"row": part.column(0), "ids": ids} | ({"back": _texts_of(p, ids)} if back else {})
+                yield pa.RecordBatch.from_pydict(columns)
 
     kind = rows.schema["row"].dataType
-    short = rows.where(~giant).select("row").mapInArrow(encode, T.StructType([T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField("row", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("back", T.StringType())] if back else [])]
+    short = rows.where(~giant).select("row").mapInArrow(encode, T.StructType(fields))
     long = rows.where(giant)
     ids = _spread(long.select("id", "key", "t"), model, chunk, block)
     met = long.select("row", "id", "key").join(ids, (long["key"] == ids["k_key"]) & long["id"].eqNullSafe(ids["k_id"])).select("row", "ids")
-    return short.unionByName(met)
+    return short.unionByName(met.withColumn("back", decoded(F.col("ids"), model)) if back else met)
 
 
 def _to_json(matrix: Matrix) -> str:
@@ -404,9 +413,7 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        lib = pieces(model).library
-        ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        return pa.array([lib.decode(ids[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())], pa.string())
+        return _texts_of(pieces(model), column)
 
     return decode(ids)
 
@@ -419,8 +426,7 @@ def encoded_documents(docs: DataFrame, id_column: str = "doc_id", model: str = M
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the number and digest of its ids, and whether decoding them gives back the text."""
-    out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = out.select("row", "ids", decoded(F.col("ids")).alias("back"))
+    back = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), back=True)
     plain = F.translate(F.coalesce(F.col("row.text"), F.lit("")), SPACE, " ")
     plain = F.when(F.contains(F.col("row.text"), F.lit(SPACE)), plain).otherwise(F.coalesce(F.col("row.text"), F.lit("")))
     return back.select(

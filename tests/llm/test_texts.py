@@ -264,8 +264,8 @@ def test_chunks_that_are_rows_equal_the_whole_encoding(spark, block):
     p = sentencepiece_scan.pieces(sentencepiece_scan.MODEL)
     texts = [*TEXTS, TEXTS[-1], "wide is the way " * 6250]
     docs = spark.createDataFrame([(k % 11, t) for k, t in enumerate(texts)] + [(None, TEXTS[4])], "doc_id long, text string")
-    got = sentencepiece_scan.encoded(docs, chunk=100, block=block).select("row.text", "ids").collect()
-    assert len(got) == len(texts) + 1 and all(list(r.ids) == p.encode(r.text) for r in got)
+    got = sentencepiece_scan.encoded(docs, chunk=100, block=block, back=True).select("row.text", "ids", "back").collect()
+    assert len(got) == len(texts) + 1 and all(list(r.ids) == p.encode(r.text) and r.back == r.text.replace("▁", " ") for r in got)
 
 
 def test_sentencepiece_columns(odd, empty, spark):
