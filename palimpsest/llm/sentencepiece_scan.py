@@ -343,7 +343,6 @@ def _from_json(text: str) -> Matrix:
 
 def _spread(texts: DataFrame, model: str, chunk: int, block: int) -> DataFrame:
     """k_id, k_key, ids of giant texts (id, key, t), whose chunks are rows."""
-    spark = texts.sparkSession
     kind, id_type = texts.schema["id"].dataType.simpleString(), to_arrow_type(texts.schema["id"].dataType)
     place, spot = ["id", "key", "n"], f"id {kind}, key long, n long"
     span = pa.list_(pa.int32())
@@ -393,9 +392,8 @@ def _spread(texts: DataFrame, model: str, chunk: int, block: int) -> DataFrame:
         s = spans.select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), F.col("n").alias("s_n"), "entry", "leave")
         return rows.join(s, (F.col("key") == F.col("s_key")) & (above == F.col("s_n")) & F.col("id").eqNullSafe(F.col("s_id"))).drop("s_id", "s_key", "s_n")
 
-    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.floor(F.col("n") / block)
-    in_blocks = lambda df: df.repartition(dealt, "id", "key", number).sortWithinPartitions(*place)
+    in_blocks = lambda df: df.repartition("id", "key", number).sortWithinPartitions(*place)
     chunks = written(texts.mapInArrow(cut, f"{spot}, l string, body string, r string").repartition(*place), "chunks")
     levels = [written(chunks.mapInArrow(matrix, f"{spot}, matrix string"), "matrices")]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > 0:
