@@ -52,8 +52,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
 
 
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.translate(_FOLD))
+    return _WORDS.findall(folded(text))
 
 
 class Templates:
@@ -67,6 +71,11 @@ class Templates:
         bags.sort(key=lambda b: b[:2])
         self.bags, self.least, self.sizes = bags, least, [b[0] for b in bags]
         self.known = frozenset(g for b in bags for g in b[2])
+        # Sizes of units that any template allows, and which share of a unit's bigrams, and how many, must be known at least; a
+        # little slack, so that no bound fails by rounding.
+        self.share = least / (2 - least)
+        self.low, self.high = (self.sizes[0] * self.share - 1e-6, self.sizes[-1] / self.share + 1e-6) if bags else (np.inf, -np.inf)
+        self.fewest = max(self.low, 1) * self.share - 1e-6
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The largest coefficient that reaches the limit, and the first template by name that has it."""
@@ -103,43 +112,66 @@ def scan(text: Column, texts: dict[str, str] = TEMPLATES, least: float = LEAST)
 
 
 def unit_matches(text: str, templates: Templates) -> list[dict]:
+    """The units that match. The words are read once; counts of known bigrams up to each word tell which units may match."""
+    split = [_WORDS.findall(line) for line in folded(text).split("\n")]
+    words = [w for line in split for w in line]
+    hits = [g in templates.known for g in zip(words, words[1:])]
+    if sum(hits) < templates.fewest:
+        return []
+    known = np.concatenate(([0], np.cumsum(hits, dtype=np.int64), [sum(hits)]))
+    ends = np.cumsum([len(line) for line in split])
+    starts = np.concatenate(([0], ends[:-1]))
     found = []
-    for kind, units in (("line", text.split("\n")), ("block", _BLANK.split(text)), ("text", [text])):
-        for i, unit in enumerate(units):
-            if best := templates.best(words_of(unit)):
+    for kind, first, last in (("line", starts, ends), ("block", *block_bounds(text, starts, ends)), ("text", starts[:1], ends[-1:])):
+        n = last - first - 1
+        shared = known[np.maximum(last - 1, 0)] - known[first]
+        for i in np.flatnonzero((n >= np.maximum(templates.low, 1)) & (n <= templates.high) & (shared >= n * templates.share - 1e-6)).tolist():
+            if best := templates.best(words[first[i] : last[i]]):
                 found.append({"unit": kind, "number": i, "licence": best[1], "dice": best[0]})
-    return found + windows(text, templates, {m["number"]: m for m in found if m["unit"] == "line"})
+    full = np.flatnonzero(ends > starts)
+    return found + windows(words, known, full, starts[full], ends[full], templates, {m["number"]: m for m in found if m["unit"] == "line"})
 
 
-def windows(text: str, templates: Templates, lines: dict[int, dict]) -> list[dict]:
-    """The runs of lines that match, without overlap, best first; a run is left out if one of its lines matches as well as it."""
-    split = [words_of(line) for line in text.split("\n")]
-    numbers = [i for i, w in enumerate(split) if w]
-    words = [w for i in numbers for w in split[i]]
-    if len(numbers) < 2 or not templates.sizes:
+def block_bounds(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the blocks between blank lines, from those of the lines."""
+    first, last, line, at = [], [], 0, 0
+    for gap in _BLANK.finditer(text):
+        first.append(starts[line])
+        line += text.count("\n", at, gap.start())
+        last.append(ends[line])
+        line += text.count("\n", gap.start(), gap.end())
+        at = gap.end()
+    return np.array([*first, starts[line]]), np.array([*last, ends[-1]])
+
+
+def windows(words: list[str], known: np.ndarray, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, templates: Templates, lines: dict[int, dict]) -> list[dict]:
+    """The runs of lines that match, without overlap, best first; a run is left out if one of its lines matches as well as it.
+
+    numbers, starts, ends: the lines with words. known: how many known bigrams begin before each word.
+    """
+    if len(numbers) < 2:
         return []
-    t = templates.least
-    known = np.concatenate(([0], np.cumsum([g in templates.known for g in zip(words, words[1:])], dtype=np.int64)))
-    ends = np.cumsum([len(split[i]) for i in numbers])
-    starts = np.concatenate(([0], ends[:-1]))
+    share = templates.share
     # A line at an end of a run that shares nothing only lowers the coefficient.
-    first = np.flatnonzero(known[np.minimum(ends, len(words) - 1)] > known[starts])
+    opens = known[ends] > known[starts]
     last = known[ends - 1] > known[np.maximum(starts - 1, 0)]
-    low, high = templates.sizes[0] * t / (2 - t), templates.sizes[-1] * (2 - t) / t
+    # A run has enough known bigrams if this rises from its start to its end; so some later end must be as high as the start.
+    level = known[ends - 1] - share * (ends - 1)
+    later = np.append(np.maximum.accumulate(level[:0:-1])[::-1], -np.inf)
     met = []
-    for s in first.tolist():
-        e = np.arange(s + 1, int(np.searchsorted(ends, starts[s] + high + 1 + 1e-6, "right")))
+    for s in np.flatnonzero(opens & (later >= known[starts] - share * starts - 1e-6)).tolist():
+        e = np.arange(s + 1, int(np.searchsorted(ends, starts[s] + templates.high + 1, "right")))
         n = ends[e] - starts[s] - 1
         shared = known[ends[e] - 1] - known[starts[s]]
-        for j in e[last[e] & (n >= low - 1e-6) & (shared >= n * t / (2 - t) - 1e-6)].tolist():
+        for j in e[last[e] & (n >= templates.low) & (shared >= n * share - 1e-6)].tolist():
             best = templates.best(words[starts[s] : ends[j]])
-            if best and not any(lines[i]["dice"] >= best[0] for i in numbers[s : j + 1] if i in lines):
+            if best and not any(lines[i]["dice"] >= best[0] for i in numbers[s : j + 1].tolist() if i in lines):
                 met.append((-best[0], s, j, best[1]))
     kept: list[tuple] = []
     for m in sorted(met):
         if all(m[2] < k[1] or k[2] < m[1] for k in kept):
             kept.append(m)
-    return [{"unit": "window", "number": numbers[s], "licence": name, "dice": -d} for d, s, _, name in sorted(kept, key=lambda k: k[1])]
+    return [{"unit": "window", "number": int(numbers[s]), "licence": name, "dice": -d} for d, s, _, name in sorted(kept, key=lambda k: k[1])]
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
