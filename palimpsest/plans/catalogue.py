@@ -15,7 +15,7 @@ from palimpsest.operators.spans import pattern_spans, pattern_sql
 from palimpsest.sources.patterns import load, patterns_frame
 
 from . import oracle
-from .fixtures import EXACT, ITEMS, MODELS, TEXTS, sql_values
+from .fixtures import BROKEN_URIS, EXACT, ITEMS, MODELS, TEXTS, sql_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def _pattern(name: str) -> Query:
     return _of(lambda t, loaded: pattern_spans(t, loaded[name]))
 
 
+def escaped_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _documents(spark, sf_dir).unionAll(spark.createDataFrame(BROKEN_URIS, "id long, t string"))
+    return _rows(texts, advanced.escaped_uris(F.col("t"), {p.name: p for p in load()}))
+
+
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_documents(spark, sf_dir), "t")
 
@@ -234,7 +239,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"spans_{p.name}": _pattern(p.name) for p in load()}
     found |= {name: _of(make) for name, (make, _) in CANDIDATES.items()}
     found["generic_secret"] = _of(lambda t, _: secrets.generic_spans(t, secrets.aws_spans(t)))
-    found["escaped_uri"] = _of(advanced.escaped_uris)
+    found["escaped_uri"] = escaped_uri
     found |= {f"violations_by_{c}": _count_by(c) for c in ("pattern", "type", "severity")}
     found |= {f"violations_by_{c}": _count_by_document(c) for c in ("lang", "source")}
     for f in (
@@ -273,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
     found = {f"spans_{p.name}": _candidate_sql(oracle.of_pattern(p)) for p in load()}
     found |= {name: _candidate_sql(sql()) for name, (_, sql) in CANDIDATES.items()}
     found["generic_secret"] = _candidate_sql(oracle.generic(), f", aws AS ({oracle.aws()})")
+    broken = f"{oracle.texts()} UNION ALL SELECT * FROM {sql_values(BROKEN_URIS)} AS b(id, t)"
+    found["escaped_uri"] = _candidate_sql("SELECT * FROM uris", oracle.escaped_uris()).replace(oracle.texts(), broken, 1)
     every = oracle.detection()
     red = oracle.redaction()
     by_doc = lambda c: f"{every}, n AS (SELECT id, count(*) AS n FROM kept GROUP BY id) SELECT {c}, coalesce(sum(n), 0)::BIGINT AS n_violations, count(n)::BIGINT AS n_documents FROM documents LEFT JOIN n ON doc_id = id GROUP BY {c}"

@@ -28,6 +28,12 @@ TEXTS = [
     (-20, "nothing to see"),
     (-21, ""),
 ]
+#: (id, text): connection strings that line breaks, tabs or their escapes interrupt, with other characters before them.
+BROKEN_URIS = [
+    (-31, "é url=postgres:/\n/app:Secret123@db.internal:5432/payments\nnext line"),
+    (-32, "a\\tb mongodb+srv:\\n//user:pw@clu\tster/x and mysql:/\r\n/root@host/db"),
+    (-33, "no break postgres://u:p@h/d"),
+]
 #: (item_index, id, prompt, session_id, sanitization_mode, slm)
 ITEMS = [
     (0, "a", "My email is john.doe@example.com", None, None, None),

@@ -89,6 +89,19 @@ def canonical_emails() -> str:
     return _spans(matches(email.regex, text=view, source="(SELECT * FROM src WHERE strlen(t) > length(t))"), "pii", "BLOCK", "email")
 
 
+def escaped_uris() -> str:
+    """CTEs after src and the rows: matches in the texts without interruptions, brought back by the order of the kept characters."""
+    dropped = r"\\[nrt]|[\n\r\t]"
+    broken = rf":(?:{dropped})*/(?:{dropped})*/"
+    view = f"regexp_replace(t, {quoted(dropped)}, '', 'g')"
+    found = " UNION ALL ".join(_spans(matches(p.regex, text="v", source="cut"), p.type, p.severity, p.name) for p in load() if p.name in advanced.URI_PATTERNS)
+    return f""", cut AS (SELECT id, t, {view} AS v FROM src WHERE regexp_matches(t, {quoted(broken)}) AND regexp_matches(t, {quoted(dropped)}) AND regexp_matches({view}, '(?:postgres|mongodb(?:\\+srv)?|mysql)://')),
+units AS (SELECT id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM (SELECT id, regexp_extract_all(t, {quoted(r"(?s)\\[nrt]|.")}) AS u FROM cut)),
+placed AS (SELECT id, x, i, (sum(length(x)) OVER (PARTITION BY id ORDER BY i))::BIGINT AS e FROM units),
+kept AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS k, e - length(x) AS b, e FROM placed WHERE NOT regexp_full_match(x, {quoted(dropped)})),
+uris AS (SELECT f.id, t, type, severity, pattern, substr(t, a.b + 1, z.e - a.b) AS matched, a.b AS cs, z.e AS ce FROM ({found}) f JOIN kept a ON a.id = f.id AND a.k = f.cs + 1 JOIN kept z ON z.id = f.id AND z.k = f.ce)"""
+
+
 def aws() -> str:
     ids = _spans(matches(secrets._KEY_ID), "credential", "BLOCK", "aws_access_key_id")
     secret = f"{KEY('g1')} IN ('awssecretaccesskey', 'secretaccesskey') AND regexp_full_match({BARE('g3')}, '[A-Za-z0-9/+=]{{40}}')"
