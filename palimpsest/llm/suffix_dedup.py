@@ -220,8 +220,8 @@ class Shard:
         return hashlib.blake2b(self.data[at : at + self.window], digest_size=16).digest()
 
 
-#: kind 0: a region (digest) with its runs. 1: an anchor's part's sorted digests in a slice. 2: a window (begin) of a region that
-#: repeats only if another part has its digest.
+#: kind 0: a region (digest) with its runs. 1: an anchor's slice of one part: its sorted digests (key); for each, where the window
+#: begins in its region (begin) and the region's number (end) among the digests in ``digest``, or -1 if it repeats in any case.
 _FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("slice", pa.int64()), ("digest", pa.binary()), ("begin", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("key", pa.binary())])
 _FOUND_DDL = "kind int, h long, slice long, digest binary, begin array<long>, end array<long>, key binary"
 
@@ -241,15 +241,17 @@ def _shard_rows(rows: list[tuple], window: int) -> Iterator[tuple]:
     hot = np.array([r[2] > 1 for r in rows])
     if hot.any():
         region = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
-        slices: dict[tuple[int, int], list[bytes]] = {}
-        for at in shard.windows[shard.first & hot[region[shard.windows]]].tolist():
-            key, (h, _, parts, once, digest, _) = shard.digest(at), rows[region[at]]
-            slices.setdefault((h, _slice_of(key, parts)), []).append(key)
-            if once and not shard.repeated[at]:
-                yield 2, h, None, digest, [at - int(shard.starts[region[at]])], None, key
+        slices: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
         # A repeated group's first window stands for all of it; the others are known to repeat already.
+        for at in shard.windows[shard.first & hot[region[shard.windows]]].tolist():
+            key, k = shard.digest(at), int(region[at])
+            open_ = rows[k][3] and not shard.repeated[at]
+            slices.setdefault((rows[k][0], _slice_of(key, rows[k][2])), []).append((key, at - int(shard.starts[k]), k if open_ else -1))
         for (h, at), keys in slices.items():
-            yield 1, h, at, None, None, None, b"".join(sorted(keys))
+            keys.sort()
+            own = sorted({k for _, _, k in keys if k >= 0})
+            number = {k: i for i, k in enumerate(own)} | {-1: -1}
+            yield 1, h, at, b"".join(rows[k][4] for k in own), [b for _, b, _ in keys], [number[k] for _, _, k in keys], b"".join(x for x, _, _ in keys)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], window: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -288,29 +290,44 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(a, at[~both], b[~both]), b[both]
 
 
+def _shared(arrays: list[np.ndarray]) -> np.ndarray:
+    """What stands in more than one of the sorted arrays, sorted. They are merged two by two: a value is looked up once a level."""
+    twice = []
+    while len(arrays) > 1:
+        pairs = [merged(arrays[i], arrays[i + 1]) for i in range(0, len(arrays) - 1, 2)]
+        twice += [p[1] for p in pairs]
+        arrays = [p[0] for p in pairs] + arrays[len(arrays) // 2 * 2 :]
+    return np.unique(np.concatenate(twice)) if twice else np.empty(0, "S16")
+
+
 def _merge_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, slice, key: sorted digests), sorted by anchor and slice -> the digests that stand in more than one array."""
-    def shared(arrays: list[np.ndarray]) -> np.ndarray:
-        twice = []
-        while len(arrays) > 1:  # two by two, so that each digest is looked up once a level
-            pairs = [merged(arrays[i], arrays[i + 1]) for i in range(0, len(arrays) - 1, 2)]
-            twice += [p[1] for p in pairs]
-            arrays = [p[0] for p in pairs] + arrays[len(arrays) // 2 * 2 :]
-        return np.unique(np.concatenate(twice)) if twice else np.empty(0, "S16")
-
-    def batch(keys: np.ndarray) -> pa.RecordBatch:
-        # numpy drops zero bytes at the end of a string
-        return pa.RecordBatch.from_arrays([pa.array([k.ljust(16, b"\0") for k in keys.tolist()], pa.binary())], ["key"])
-
-    arrays: list[np.ndarray] = []
-    last = None
+    """(h, slice, key, begin, end, digest) of kind 1, sorted by anchor and slice -> h, digest and the windows of each region that
+    repeat because another part has them."""
+    schema = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("begin", pa.list_(pa.int64())), ("end", pa.list_(pa.int64()))])
+
+    def rows(h: int, parts: list[tuple]) -> Iterator[tuple]:
+        shared = _shared([p[0] for p in parts])
+        for keys, begin, number, digests in parts if len(shared) else []:
+            hit = (shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys) & (number >= 0)
+            found: dict[int, list[int]] = {}
+            for b, k in zip(begin[hit].tolist(), number[hit].tolist(), strict=True):
+                found.setdefault(k, []).append(b)
+            for k, at in found.items():
+                yield h, digests[16 * k : 16 * k + 16], at, [x + 1 for x in at]
+
+    def batch(h: int, parts: list[tuple]) -> pa.RecordBatch:
+        out = list(rows(h, parts))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    parts: list[tuple] = []
+    last = (0, -1)
     for b in batches:
-        for h, at, keys in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for h, at, keys, begin, number, digests in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if (h, at) != last:
-                yield batch(shared(arrays))
-                arrays, last = [], (h, at)
-            arrays.append(np.frombuffer(keys, "S16"))
-    yield batch(shared(arrays))
+                yield batch(last[0], parts)
+                parts, last = [], (h, at)
+            parts.append((np.frombuffer(keys, "S16"), np.array(begin), np.array(number), digests))
+    yield batch(last[0], parts)
 
 
 def repeated_runs(docs: DataFrame, id_column: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -333,9 +350,8 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", window: int = WIND
     dealt = cut.repartition("h", "part").sortWithinPartitions("h", "part", "digest")
     shards = written(dealt.mapInArrow(partial(_shards, window=window, shard_bytes=shard_bytes), _FOUND_DDL), "suffix-shards")
 
-    slices = shards.where("kind = 1").select("h", "slice", "key").repartition("h", "slice").sortWithinPartitions("h", "slice")
-    shared = slices.mapInArrow(_merge_slices, "key binary")
-    alone = shards.where("kind = 2").join(shared, "key", "left_semi").select("h", "digest", "begin", F.transform("begin", lambda b: b + 1).alias("end"))
+    slices = shards.where("kind = 1").select("h", "slice", "key", "begin", "end", "digest").repartition("h", "slice").sortWithinPartitions("h", "slice")
+    alone = slices.mapInArrow(_merge_slices, "h long, digest binary, begin array<long>, end array<long>")
     whole = different.where("times > 1").select("h", "digest", F.array(F.lit(0).cast("long")).alias("begin"), F.array("n").alias("end"))
     decided = shards.where("kind = 0").select("h", "digest", "begin", "end").unionByName(alone).unionByName(whole)
     runs = places.join(decided, ["h", "digest"]).select("id", "row_key", "at", F.explode(F.arrays_zip("begin", "end")).alias("r"))
