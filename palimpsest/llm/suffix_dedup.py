@@ -335,7 +335,8 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", window: int = WIND
     base = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column).alias("row_key"), F.col("text").alias("text"))
     found = base.mapInArrow(partial(_anchors, window=window, anchor=anchor), "id long, row_key long, h long, at long, n long, digest binary")
     every = written(found, "anchors")
-    again = every.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # Written, so that both sides of the join are shuffled for it and a hot anchor's rows can be split.
+    again = written(every.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "anchors-again")
     places = written(every.join(again, "h", "left_semi"), "repeated-anchors")
     different = written(places.groupBy("h", "digest").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min(F.struct("id", "row_key", "at")).alias("place")), "regions")
 
