@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -32,62 +33,73 @@ class Scorer(Protocol):
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, int, str, float]]]: ...
 
 
-def split_tag(tag: str) -> tuple[str, str]:
-    """(prefix, label); a tag with no known prefix begins a span."""
-    m = re.fullmatch(r"([BIOESLU])-(.+)", tag)
-    return (m[1], m[2]) if m else ("O", "") if tag in ("O", "") else ("B", tag)
-
-
-def decode_tags(text: str, tokens: list[tuple[int, int, int, str, float]]) -> list[dict]:
-    """Spans in characters from tagged tokens. B, S and U begin a span; I, E and L go on with one of their label; S, U, E and L end it."""
-    spans: list[dict] = []
-    now: dict | None = None
-
-    def close() -> None:
-        nonlocal now
-        if now:
-            spans.append({"label": now["label"], "start": now["start"], "end": now["end"], "score": sum(now["scores"]) / len(now["scores"])})
-        now = None
-
-    for i, (start, end, mask, tag, score) in enumerate(tokens):
-        if not mask:
-            continue
-        if i and not start and not end:  # a sign that stands for no text
-            close()
-            continue
-        prefix, label = split_tag(tag)
-        if prefix == "O":
-            close()
-            continue
-        if prefix in "BSU" or not now or now["label"] != label:
-            close()
-            now = {"label": label, "start": start, "end": end, "scores": []}
-        now["end"] = end
-        now["scores"].append(score)
-        if prefix in "SUEL":
-            close()
-    close()
-    return tidy(text, spans)
-
-
-def tidy(text: str, spans: list[dict]) -> list[dict]:
-    """White space goes from the edges, blank spans go; neighbours of a label with only white space between become one."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        piece = text[s["start"] : s["end"]]
-        start, end = s["start"] + len(piece) - len(piece.lstrip()), s["end"] - len(piece) + len(piece.rstrip())
-        if start >= end:
-            continue
-        last = out[-1] if out else None
-        if last and last["label"] == s["label"] and not text[last["end"] : start].strip():
-            last |= {"end": end, "score": (last["score"] + s["score"]) / 2}
-        else:
-            out.append({"label": s["label"], "start": start, "end": end, "score": s["score"]})
+TOKEN = "struct<start:int,end:int,mask:int,tag:string,score:double>"
+#: Tags that begin a span, and tags that end one.
+BEGINS, ENDS = list("BSU"), list("SUEL")
+
+
+def islands(tokens: pd.DataFrame) -> pd.DataFrame:
+    """row, label, start, end, score of spans in characters, from tagged tokens (row, nth, start, end, mask, tag, score) in order.
+
+    A span is an island of tokens: a token begins one if its tag says so, if the token before it ended one or is in none, or if
+    the labels differ. The running sum of the begins numbers the islands. A tag with no known prefix begins a span, and a token
+    but the first that stands for no text is in none.
+    """
+    seen = tokens[tokens["mask"] != 0].reset_index(drop=True)
+    parts = seen["tag"].fillna("").str.extract(r"\A([BIOESLU])-(.+)\Z", flags=re.DOTALL)
+    bare = parts[0].isna()
+    prefix = parts[0].where(~bare, "B")
+    label = parts[1].where(~bare, seen["tag"])
+    outside = (prefix == "O") | seen["tag"].isna() | seen["tag"].isin(["", "O"]) | ((seen["nth"] > 0) & (seen["start"] == 0) & (seen["end"] == 0))
+    open_ = ~outside & ~prefix.isin(ENDS)
+    goes_on = open_.shift(fill_value=False) & (label == label.shift()) & (seen["row"] == seen["row"].shift()) & ~prefix.isin(BEGINS)
+    inside = seen.assign(label=label, island=(~goes_on).cumsum())[~outside]
+    spans = inside.groupby("island").agg(row=("row", "first"), label=("label", "first"), start=("start", "first"), end=("end", "last"), score=("score", "mean"))
+    return spans.reset_index(drop=True)
+
+
+def joined(spans: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    """Spans without the white space at their edges, blank ones left out; neighbours of a label with only white space between
+    become one, numbered by a second running sum. A joined span's score halves what came before with each span that joins."""
+    pieces = [texts[r][s:e] for r, s, e in zip(spans["row"], spans["start"], spans["end"], strict=True)]
+    left = pd.Series([len(p) - len(p.lstrip()) for p in pieces], index=spans.index, dtype="int64")
+    right = pd.Series([len(p.rstrip()) for p in pieces], index=spans.index, dtype="int64")
+    spans = spans.sort_values(["row", "start", "end"], kind="stable").assign(end=spans["start"] + right, start=spans["start"] + left)
+    spans = spans[spans["start"] < spans["end"]]
+    before = spans.shift()
+    near = (spans["row"] == before["row"]) & (spans["label"] == before["label"])
+    blank = [n and not texts[int(r)][int(e) : s].strip() for n, r, e, s in zip(near, spans["row"], before["end"], spans["start"], strict=True)]
+    group = (~pd.Series(blank, index=spans.index, dtype=bool)).cumsum()
+    halved = lambda s: functools.reduce(lambda a, b: (a + b) / 2, s)
+    return spans.groupby(group).agg(row=("row", "first"), label=("label", "first"), start=("start", "first"), end=("end", "last"), score=("score", halved))
+
+
+def in_bytes(text: str, spans: list[tuple[str, int, int, float]]) -> list[dict]:
+    """Spans by position in characters -> in bytes, with their text; each stretch of the text is measured once."""
+    out, at, size = [], 0, 0
+    for label, start, end, score_ in spans:
+        size = size + len(text[at:start].encode()) if start >= at else len(text[:start].encode())
+        piece = text[start:end]
+        length = len(piece.encode())
+        out.append({"label": label, "text": piece, "start": size, "end": size + length, "score": score_})
+        at, size = end, size + length
     return out
 
 
-def in_bytes(text: str, spans: list[dict]) -> list[dict]:
-    return [s | {"text": text[s["start"] : s["end"]], "start": len(text[: s["start"]].encode()), "end": len(text[: s["end"]].encode())} for s in spans]
+def _decoded(text: pd.Series, tokens: pd.Series) -> pd.Series:
+    fields = ["start", "end", "mask", "tag", "score"]
+    rows = [(r, i, *(t[f] for f in fields)) for r, (x, own) in enumerate(zip(text, tokens, strict=True)) if x is not None and own is not None for i, t in enumerate(own)]
+    out: list = [None if x is None or own is None else [] for x, own in zip(text, tokens, strict=True)]
+    if rows:
+        spans = joined(islands(pd.DataFrame(rows, columns=["row", "nth", *fields])), list(text))
+        for row, own in spans.groupby("row"):
+            out[int(row)] = in_bytes(text.iloc[int(row)], list(own[["label", "start", "end", "score"]].itertuples(index=False, name=None)))
+    return pd.Series(out)
+
+
+def decoded(text: Column | str, tokens: Column | str) -> Column:
+    """A text and its tagged tokens (array<TOKEN>, in characters) -> its spans in bytes; null where either is null."""
+    return F.pandas_udf(_decoded, f"array<{MODEL_SPAN}>")(text, tokens)
 
 
 class Breaker:
@@ -108,8 +120,8 @@ def score(df: DataFrame, scorer: Callable[[], Scorer], text: str = "text", enabl
     """df with model_spans (bytes). Texts that are too long, or whose row says no, aren't scored; a scorer that fails gives no
     spans. Each task has a scorer and a breaker of its own."""
 
-    @F.pandas_udf(f"array<{MODEL_SPAN}>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"array<{TOKEN}>")
+    def tagged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, breaker = scorer(), Breaker()
         for texts in parts:
             out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -119,19 +131,20 @@ def score(df: DataFrame, scorer: Callable[[], Scorer], text: str = "text", enabl
                 if not breaker.allows():
                     continue
                 try:
-                    tagged = model([texts.iloc[i] for i in rows])
+                    found = model([texts.iloc[i] for i in rows])
                     breaker.record(True)
                 except Exception:  # noqa: BLE001  any failure of a model only loses its spans
                     breaker.record(False)
                     continue
-                for i, tokens in zip(rows, tagged):
-                    out[i] = in_bytes(texts.iloc[i], decode_tags(texts.iloc[i], tokens))
+                for i, tokens in zip(rows, found, strict=True):
+                    out[i] = [dict(zip(("start", "end", "mask", "tag", "score"), t, strict=True)) for t in tokens]
             yield pd.Series(out)
 
     ask = F.octet_length(text) <= max_bytes
     if enabled:
         ask &= F.coalesce(F.col(enabled), F.lit(default))
-    return df.withColumn("model_spans", run(F.when(ask, F.col(text))))
+    tokens = tagged(F.when(ask, F.col(text)))
+    return df.withColumn("model_spans", F.coalesce(decoded(F.col(text), tokens), F.array().cast(f"array<{MODEL_SPAN}>")))
 
 
 def label_table(overrides: dict[str, tuple[str, str, str]] | None = None) -> dict[str, tuple[str, str, str]]:

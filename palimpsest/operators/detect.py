@@ -31,6 +31,9 @@ FORMS = {
 }
 
 
+_TEXT = "_palimpsest_text"
+
+
 def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: Column | None = None, sql: str | None = None) -> Column:
     """Spans of all detectors in one array, overlapping or not. contextual: further spans, such as a model's.
 
@@ -61,8 +64,9 @@ def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: C
 
 def detect(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None, out: str = "violations", contextual: str | None = None) -> DataFrame:
     """df with the spans that stay, by position; a null text has none. Narrow projections only."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumn(out, raw_spans(t, patterns, F.col(contextual) if contextual else None, f"coalesce({text}, '')"))
+    # The patterns are SQL over a fixed name, so a column may have any name.
+    named = df.withColumn(_TEXT, F.coalesce(F.col(text), F.lit("")))
+    found = named.withColumn(out, raw_spans(F.col(_TEXT), patterns, F.col(contextual) if contextual else None, _TEXT)).drop(_TEXT)
     return found.withColumn(out, resolved(F.col(out)))
 
 

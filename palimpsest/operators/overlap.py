@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .secrets import overlaps
+from .spans import let
 
 #: Ranks, larger is better; anything else is 0.
 SEVERITY_RANK = {"BLOCK": 3, "WARN": 2, "LOG": 1}
@@ -47,10 +48,30 @@ def by_position(spans: Column) -> Column:
     return F.transform(placed, lambda r: r["x"])
 
 
-def resolved(spans: Column) -> Column:
-    """Disjoint spans by position: each span in order of quality stays unless it meets one that stays."""
+def _greedy(spans: Column) -> Column:
+    """Of spans that hang together, each in order of quality stays unless it meets one that stays; by position."""
     def keep(kept: Column, x: Column) -> Column:
         return F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
 
     chosen = F.aggregate(by_quality(spans), F.slice(spans, 1, 0), keep)
     return F.when(F.size(spans) <= 1, spans).otherwise(by_position(chosen))
+
+
+def resolved(spans: Column) -> Column:
+    """Disjoint spans by position: each span in order of quality stays unless it meets one that stays.
+
+    Spans are cut into clusters first, and only spans of a cluster are compared: by position, a cluster begins where as many ends
+    have passed as spans have begun before. So work grows with the spans, and with the square only of what hangs together.
+    """
+    placed = F.struct(
+        by_position(spans).alias("x"),
+        # An empty span counts as one byte here, so that it stays in the cluster of a span around it.
+        F.array_sort(F.transform(spans, lambda x: F.greatest(x["end"], x["position"] + 1))).alias("ends"),
+    )
+
+    def cut(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s["x"]) - 1), lambda i: (i == 0) | (F.get(s["ends"], i - 1) <= F.get(s["x"], i)["position"]))
+        cluster = lambda b: lambda at, k: let(F.slice(s["x"], at + 1, F.coalesce(F.get(b, k + 1), F.size(s["x"])) - at), _greedy)
+        return let(begins, lambda b: F.flatten(F.transform(b, cluster(b))))
+
+    return F.when(F.size(spans) <= 1, spans).otherwise(let(placed, cut))

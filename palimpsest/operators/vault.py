@@ -7,18 +7,25 @@ text to its start. Two exchanges by session: one for first sightings and ranks,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.sources.patterns import Pattern
 from palimpsest.sources.stored import stored
 
 from .detect import detect, one_by_one
-from .rewrite import label, replacement, rewritten_spans, spliced
+from .rewrite import label, rewritten_spans, spliced
 from .tokens import family, fragments_of, token_of
 
 MAX_TOKENS = 100_000
 PREFIX = "vlt_"
+#: Rows of a session that one part resolves.
+ROWS_PER_PART = 100_000
 
 
 def new_session_id(prefix: str = PREFIX) -> Column:
@@ -92,7 +99,10 @@ def tokenize(df: DataFrame, text: str = "text", session: str = "session_id", ord
     known = found.groupBy("session_id", "req").agg(F.map_from_entries(F.collect_list(F.struct("matched", F.coalesce("token", F.lit(""))))).alias("_tokens"), F.min("error").alias("error"))
     met = detected.join(known.withColumnsRenamed({"session_id": "_session", "req": "_req"}), F.col(session).eqNullSafe(F.col("_session")) & F.col(order).eqNullSafe(F.col("_req")), "left")
     t, spans = F.coalesce(F.col(text), F.lit("")), rewritten_spans(F.col("violations"))
-    new = F.transform(spans, lambda x: F.when(x["type"] == "credential", label(x)).otherwise(F.coalesce(F.element_at("_tokens", x["matched"]), replacement(x))))
+    new = F.transform(spans, lambda x: F.when(x["type"] == "credential", label(x)).otherwise(F.element_at("_tokens", x["matched"])))
+    # A value without a token (a request without a session, for one) is an error too, never a label.
+    lost = F.exists(new, lambda n: n.isNull())
+    met = met.withColumn("error", F.coalesce("error", F.when(lost, "token_missing")))
     out = met.withColumns({
         "sanitized_text": F.when(F.col("error").isNull(), spliced(t, spans, new)),
         "safe": F.size("violations") == 0, "redacted_count": F.size(spans), "tokenized_count": F.size(tokenized_spans(F.col("violations"))),
@@ -100,23 +110,63 @@ def tokenize(df: DataFrame, text: str = "text", session: str = "session_id", ord
     return out.drop("_session", "_req", "_tokens"), tokens
 
 
-def resolved_text(body: Column, reverse: Column) -> Column:
-    """body with every key of the map replaced by its value in one pass, longer keys first."""
-    keys = F.array_sort(F.transform(F.map_keys(reverse), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
-    quoted = lambda k: F.concat(F.lit("\\Q"), F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    rx = F.array_join(F.transform(keys, lambda x: quoted(x["k"])), "|")
-    hits = F.regexp_extract_all(body, rx, F.lit(0))
-    gaps = F.split(body, rx, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.element_at(reverse, F.get(hits, i)), F.lit("")))), "")
-    return F.when(reverse.isNull() | (F.size(reverse) == 0) | (body == ""), body).otherwise(joined)
-
-
-def resolve(df: DataFrame, reverse: DataFrame, body: str = "body", session: str = "session_id") -> DataFrame:
-    """df with resolved_text and resolve_status: success, or vault_expired where the session has no vault."""
-    r = reverse.select(F.col("session_id").alias("_session"), F.col("reverse").alias("_reverse"))
-    met = df.join(r, F.col(session) == F.col("_session"), "left")
-    status = F.when(F.col("_session").isNull(), "vault_expired").otherwise("success")
-    return met.withColumns({"resolved_text": F.when(F.col("_session").isNotNull(), resolved_text(F.col(body), F.col("_reverse"))), "resolve_status": status}).drop("_session", "_reverse")
+def replaced(body: str, keys: ahocorasick.Automaton) -> str:
+    """body with every key replaced by its value in one pass: of keys that begin at one place the longest, from left to right."""
+    # (The automaton's own longest-match mode overlooks keys behind an unfinished longer one.)
+    found = sorted((end + 1 - size, -size, value) for end, (size, value) in keys.iter(body))
+    out, at = [], 0
+    for begin, less, value in found:
+        if begin >= at:
+            out.append(body[at:begin])
+            out.append(value)
+            at = begin - less
+    return "".join(out) + body[at:] if out else body
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(session, part, kind, key, value, row, body), sorted: a session's entries (kind 0) come before its rows (kind 1)."""
+    last, entries, keys = None, {}, None
+    for b in batches:
+        rows, out = [], []
+        for i, (session, part, kind) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+            if (session, part) != last:
+                last, entries, keys = (session, part), None, None
+            if not kind:
+                entries = {} if entries is None else entries
+                key = b.column(3)[i].as_py()
+                if key:
+                    entries[key] = b.column(4)[i].as_py() or ""
+                continue
+            if entries and keys is None:
+                keys = ahocorasick.Automaton()
+                for key, value in entries.items():
+                    keys.add_word(key, (len(key), value))
+                keys.make_automaton()
+            body = b.column(6)[i].as_py()
+            rows.append(i)
+            out.append((None if entries is None or body is None else replaced(body, keys) if keys else body, "vault_expired" if entries is None else "success"))
+        yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(rows, pa.int64())), pa.array([t for t, _ in out], pa.string()), pa.array([s for _, s in out], pa.string())], ["row", "resolved_text", "resolve_status"])
+
+
+def resolve(df: DataFrame, reverse: DataFrame, body: str = "body", session: str = "session_id", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """df with resolved_text and resolve_status: success, or vault_expired where the session has no vault.
+
+    A session's entries and rows meet sorted, entries first: they become one automaton (Aho-Corasick), which goes through each
+    body once whatever the number of tokens. A session with many rows is dealt to several parts, each with all of its entries.
+    """
+    parts = df.where(F.col(session).isNotNull()).groupBy(F.col(session).cast("string").alias("_s")).agg(F.ceil(F.count("*") / F.lit(rows_per_part)).cast("long").alias("_parts"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    nothing = F.lit(None).cast("string")
+    # Rows without a session are spread by their content; they meet no entries.
+    named = df.select(row.alias("row"), F.col(session).cast("string").alias("_s"), F.col(body).alias("_body"))
+    many = parts.where("_parts > 1")
+    met = named.join(many, "_s", "left").withColumn("_part", F.pmod(F.xxhash64("_body", F.monotonically_increasing_id()), F.when(F.col("_s").isNull(), 1 << 20).otherwise(F.coalesce("_parts", F.lit(1)))))
+    bodies = met.select("_s", "_part", F.lit(1).alias("_kind"), nothing.alias("_key"), nothing.alias("_value"), "row", "_body")
+    entries = reverse.select(F.col("session_id").cast("string").alias("_s"), F.explode(F.concat(F.array(F.struct(nothing.alias("key"), nothing.alias("value"))), F.map_entries("reverse"))).alias("e"))
+    dealt = entries.join(parts, "_s").select("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), F.col("e.key").alias("_key"), F.col("e.value").alias("_value"), F.lit(None).cast(met.schema["row"].dataType).alias("row"), nothing.alias("_body"))
+    sorted_ = bodies.unionByName(dealt).repartition("_s", "_part").sortWithinPartitions("_s", "_part", "_kind")
+    schema = T.StructType([met.schema["row"], T.StructField("resolved_text", T.StringType()), T.StructField("resolve_status", T.StringType())])
+    return sorted_.mapInArrow(_resolved, schema).select("row.*", "resolved_text", "resolve_status")
 
 
 def live(vaults: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:

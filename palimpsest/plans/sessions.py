@@ -1,0 +1,151 @@
+"""Queries of sessions over the conversations: life cycle, calls to stores, resolving, and decoding of tagged tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.operators import contextual, lifecycle, vault
+from palimpsest.operators.spans import placed_matches
+
+#: Conversations have no times: one begins every START_S seconds, and its turns follow at growing distances, the fifth after more
+#: than the time to live.
+START_S, GROWTH_S = 97, 450
+STORES, STORE_ROOM = 4, 6
+#: Documents as requests: seconds from one to the next, and more after every hundred.
+STEP_S, PAUSE_S = 40, 4000
+#: Tags that words of a conversation get by their hash.
+TAGS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret", "I-secret", "private_url", "U-private_date", "L-private_person", "I-private_person", "", "O-other"]
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("long")
+    return _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("session_id"), turn.alias("request_order"), "text", "conv_id", F.timestamp_seconds(F.col("conv_id") * START_S + turn * turn * GROWTH_S).alias("at"))
+
+
+def vault_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's vaults, and how many were live when each began."""
+    seconds = lambda c: F.unix_seconds(c).alias(c)
+    return lifecycle.vaults(_timed(spark, sf_dir)).select("session_id", "epoch", seconds("started_at"), seconds("expires_at"), "requests", "live")
+
+
+def vault_epoch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as sessions, documents as requests, a pause after every hundred: how many values of each family an epoch has, numbered
+    from 1 again in each."""
+    i = F.col("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IS NOT NULL").select(F.col("source").alias("session_id"), i.alias("request_order"), "text", F.timestamp_seconds(i * STEP_S + F.floor(i / 100) * PAUSE_S).alias("at"))
+    _, tokens = lifecycle.tokenize_with_expiry(docs)
+    return tokens.groupBy("session_id", "epoch", "gen_key").agg(F.count("*").alias("n"), F.min("seq").cast("long").alias("first"), F.max("seq").cast("long").alias("last"))
+
+
+def vault_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls to stores of little room: which are refused, and which find no vault."""
+    both = F.col("conv_id") + F.col("request_order")
+    action = F.when(both % 11 == 10, "delete").when(both % 5 == 4, "get").otherwise("begin")
+    calls = _timed(spark, sf_dir).withColumns({"store": F.col("conv_id") % STORES, "action": action})
+    out = lifecycle.replayed(calls, max_vaults=STORE_ROOM)
+    return out.select("store", "session_id", "request_order", "action", "epoch", "status")
+
+
+def _keys(text: Column) -> Column:
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 4))
+    return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.substring(w, 1, 3))))
+
+
+def resolved_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in which the words of the first turn, and their beginnings, are resolved to bracketed ones."""
+    turns = _turns(spark, sf_dir)
+    keys = turns.where("turn = 0").select(F.col("conv_id").cast("string").alias("session_id"), _keys(F.col("text")).alias("k")).where(F.size("k") > 0)
+    reverse = keys.select("session_id", F.map_from_entries(F.transform("k", lambda k: F.struct(k, F.concat(F.lit("<"), k, F.lit(">"))))).alias("reverse"))
+    bodies = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("body"))
+    return vault.resolve(bodies, reverse).select("session_id", "turn", "resolved_text", "resolve_status")
+
+
+def bioes_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans decoded from words whose tags come from their hashes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tags = F.array(*[F.lit(t) for t in TAGS])
+
+    def token(w: Column, i: Column) -> Column:
+        h = F.conv(F.substring(F.md5(F.concat(w["matched"], F.lit("|"), i.cast("string"))), 1, 7), 16, 10).cast("long")
+        begin = F.when((i > 0) & (h % 3 == 0), w["position"] - 1).otherwise(w["position"])
+        return F.struct(begin.alias("start"), w["end"].alias("end"), F.when(h % 7 == 0, 0).otherwise(1).alias("mask"), F.get(tags, (h % len(TAGS)).cast("int")).alias("tag"), ((h % 97).cast("double") / 97).alias("score"))
+
+    words = placed_matches(text, WORD, size=F.length)
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", text.alias("text"), F.transform(words, token).cast(f"array<{contextual.TOKEN}>").alias("tokens"))
+    spans = rows.select("conv_id", "turn", F.explode(contextual.decoded("text", "tokens")).alias("s"))
+    return spans.select("conv_id", "turn", "s.label", "s.text", "s.start", "s.end", F.round(F.col("s.score") * 1e6).cast("long").alias("score"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+
+
+_TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
+_DOC_TIMES = f"t AS (SELECT source AS s, doc_id AS o, doc_id * {STEP_S} + doc_id // 100 * {PAUSE_S} AS tm FROM documents WHERE source IS NOT NULL)"
+_EPOCHS = f"""
+g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY s ORDER BY tm, o) >= {lifecycle.TTL_S} THEN 1 ELSE 0 END AS fresh FROM t),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY s ORDER BY tm, o ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch FROM g)"""
+
+
+def _numbers_sql() -> str:
+    """The vaults' numbers with the epoch in the session's name."""
+    from .catalogue import _vault_ctes
+
+    ctes = _vault_ctes()
+    start = ctes.index("SELECT conv_id::VARCHAR AS session_id")
+    end = ctes.index("UNION ALL", start)
+    stop = ctes.index(")", ctes.index("AS v(s, o, t)", end) + len("AS v(s, o, t)"))
+    turns = "SELECT s || '#' || epoch AS session_id, o AS request_order, coalesce(text, '') AS t FROM e JOIN documents d ON d.source = e.s AND d.doc_id = e.o"
+    return f"WITH {_DOC_TIMES}, {_EPOCHS}, " + (ctes[:start] + turns + ctes[stop:]).removeprefix("WITH ")
+
+
+def oracle_sql() -> dict:
+    room = "STRUCT(s VARCHAR, e BIGINT)[]"
+    tags = "[" + ", ".join(f"'{t}'" for t in TAGS) + "]"
+    return {
+        "vault_lifecycle": f"""WITH {_TIMES}, {_EPOCHS},
+v AS (SELECT s, epoch, min(tm) AS a, max(tm) + {lifecycle.TTL_S} AS b, count(*) AS n FROM e GROUP BY ALL)
+SELECT s AS session_id, epoch, a AS started_at, b AS expires_at, n AS requests, (SELECT count(*) FROM v x WHERE (x.a, x.s, x.epoch) <= (v.a, v.s, v.epoch) AND x.b > v.a)::BIGINT AS live FROM v""",
+        "vault_epoch_numbers": f"""{_numbers_sql()}
+SELECT string_split(session_id, '#')[1] AS session_id, string_split(session_id, '#')[2]::BIGINT AS epoch, gen_key, count(*) AS n, min(seq) AS first, max(seq) AS last FROM numbers GROUP BY ALL""",
+        "vault_replay": f"""WITH RECURSIVE {_TIMES},
+c AS (SELECT (conv_id % {STORES})::VARCHAR AS store, s, o, tm, CASE WHEN (conv_id + o) % 11 = 10 THEN 'delete' WHEN (conv_id + o) % 5 = 4 THEN 'get' ELSE 'begin' END AS action,
+             row_number() OVER (PARTITION BY conv_id % {STORES} ORDER BY tm, s, o) AS i FROM t),
+p AS (
+  SELECT DISTINCT store, 0::BIGINT AS i, NULL::VARCHAR AS s, NULL::BIGINT AS o, NULL::VARCHAR AS action, NULL::VARCHAR AS status, false AS made, []::{room} AS held FROM c
+  UNION ALL
+  SELECT store, i, s, o, action, status, made, CASE WHEN status = 'ok' AND action <> 'delete' THEN list_append(after, {{'s': s, 'e': tm + {lifecycle.TTL_S}}}) ELSE after END
+  FROM (
+    SELECT *, CASE WHEN action = 'delete' OR live THEN 'ok' WHEN action = 'get' THEN CASE WHEN gone THEN 'session_expired' ELSE 'vault_not_found' END WHEN len(after) >= {STORE_ROOM} THEN 'vault_full' ELSE 'ok' END AS status,
+           action = 'begin' AND NOT live AND len(after) < {STORE_ROOM} AS made
+    FROM (
+      SELECT *, CASE WHEN action = 'begin' AND NOT live AND len(rest) >= {STORE_ROOM} THEN list_filter(rest, lambda x: x.e > tm) ELSE rest END AS after
+      FROM (
+        SELECT c.*, list_filter(p.held, lambda x: x.s <> c.s) AS rest, len(list_filter(p.held, lambda x: x.s = c.s AND x.e > c.tm)) > 0 AS live, len(list_filter(p.held, lambda x: x.s = c.s AND x.e <= c.tm)) > 0 AS gone
+        FROM p JOIN c ON c.store = p.store AND c.i = p.i + 1)))),
+n AS (SELECT *, sum(made::INT) OVER (PARTITION BY store, s ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS number FROM p WHERE i > 0)
+SELECT store, s AS session_id, o AS request_order, action, CASE WHEN status = 'ok' AND action <> 'delete' THEN number::BIGINT END AS epoch, status FROM n""",
+        "resolved_conversations": rf"""WITH w AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: length(x) >= 4)) AS word FROM conversations WHERE turn = 0),
+k AS (SELECT conv_id, word AS k FROM w UNION SELECT conv_id, substr(word, 1, 3) FROM w),
+r AS (SELECT conv_id, string_agg(regexp_escape(k), '|' ORDER BY length(k) DESC, k) AS pattern FROM k GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS session_id, turn, CASE WHEN pattern IS NOT NULL THEN regexp_replace(text, '(' || pattern || ')', '<\1>', 'g') END AS resolved_text, CASE WHEN pattern IS NULL THEN 'vault_expired' ELSE 'success' END AS resolve_status FROM conversations LEFT JOIN r USING (conv_id)""",
+        "bioes_decode": rf"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS m, regexp_split_to_array(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS gap FROM conversations),
+w AS (SELECT *, unnest(range(0, len(m))) AS i FROM t),
+h AS (SELECT conv_id, turn, t, i, m[i + 1] AS word, list_sum(list_transform(m[1:i], lambda x: length(x)))::BIGINT AS b, list_sum(list_transform(gap[1:i + 1], lambda x: length(x)))::BIGINT AS c, ('0x' || substr(md5(m[i + 1] || '|' || i), 1, 7))::BIGINT AS h FROM w),
+k AS (SELECT conv_id, turn, t, i, coalesce(b, 0) + coalesce(c, 0) - CASE WHEN i > 0 AND h % 3 = 0 THEN 1 ELSE 0 END AS s, coalesce(b, 0) + coalesce(c, 0) + length(word) AS e, {tags}[h % {len(TAGS)} + 1] AS tag, (h % 97)::DOUBLE / 97 AS score FROM h WHERE h % 7 <> 0),
+l AS (SELECT *, tag IN ('', 'O', 'O-other') AS outside, CASE WHEN contains(tag, '-') THEN tag[1] ELSE 'B' END AS prefix, CASE WHEN contains(tag, '-') THEN tag[3:] ELSE tag END AS label FROM k),
+f AS (SELECT *, NOT outside AND coalesce(lag(NOT outside AND prefix NOT IN ('S', 'U', 'E', 'L')) OVER o, false) AND label = lag(label) OVER o AND prefix NOT IN ('B', 'S', 'U') AS goes_on FROM l WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+g AS (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM f),
+p AS (SELECT conv_id, turn, t, island, any_value(label) AS label, arg_min(s, i) AS s, arg_max(e, i) AS e, avg(score) AS score FROM g WHERE NOT outside GROUP BY conv_id, turn, t, island),
+q AS (SELECT * REPLACE (s + length(substr(t, s + 1, e - s)) - length(ltrim(substr(t, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS s) FROM p),
+j AS (SELECT *, coalesce(label = lag(label) OVER o AND trim(substr(t, lag(e) OVER o + 1, s - lag(e) OVER o), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '', false) AS near FROM q WINDOW o AS (PARTITION BY conv_id, turn ORDER BY s, e)),
+u AS (SELECT *, sum((NOT near)::INT) OVER (PARTITION BY conv_id, turn ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM j),
+x AS (SELECT conv_id, turn, t, any_value(label) AS label, min(s) AS s, max(e) AS e, list_reduce(list(score ORDER BY s, e), lambda a, b: (a + b) / 2) AS score FROM u GROUP BY conv_id, turn, t, grp)
+SELECT conv_id, turn, label, substr(t, s + 1, e - s) AS text, strlen(substr(t, 1, s))::INT AS start, strlen(substr(t, 1, e))::INT AS "end", round(score * 1e6)::BIGINT AS score FROM x""",
+    }

@@ -76,11 +76,6 @@ def test_fragment_conflicts_delete(spark):
     assert got == {"u": "a", "v": "b", "w": "c", "eac": "com", "exa": "six", "exa.eac": "six.com"}
 
 
-def test_resolve_takes_longer_keys_first(spark):
-    df = spark.createDataFrame([("The email is abc@defgh.ijk and TLD is ijk", {"abc@defgh.ijk": "x@gmail.com", "ijk": "com"}), ("$1 \\E a.c", {"a.c": "ok", "\\E": "?"}), ("", {"a": "b"}), ("x", {})], "b string, m map<string,string>")
-    assert [r.r for r in df.select(vault.resolved_text(F.col("b"), F.col("m")).alias("r")).collect()] == ["The email is x@gmail.com and TLD is com", "$1 ? ok", "", "x"]
-
-
 def test_session_ids(spark):
     r = spark.range(1).select(vault.new_session_id().alias("s")).select("s", vault.is_session_id(F.col("s")).alias("ok"), vault.is_session_id(F.lit("bad")).alias("bad"), vault.is_session_id(F.lit(None).cast("string")).alias("none")).first()
     assert r.ok and not r.bad and not r.none
