@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ FORMS = {
 }
 
 
-_TEXT = "_palimpsest_text"
+_TEXT, _SPANS = "_palimpsest_text", "_palimpsest_spans"
 
 
 def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: Column | None = None, sql: str | None = None) -> Column:
@@ -65,9 +68,16 @@ def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: C
 def detect(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None, out: str = "violations", contextual: str | None = None) -> DataFrame:
     """df with the spans that stay, by position; a null text has none. Narrow projections only."""
     # The patterns are SQL over a fixed name, so a column may have any name.
-    named = df.withColumn(_TEXT, F.coalesce(F.col(text), F.lit("")))
-    found = named.withColumn(out, raw_spans(F.col(_TEXT), patterns, F.col(contextual) if contextual else None, _TEXT)).drop(_TEXT)
-    return found.withColumn(out, resolved(F.col(out)))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    named = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(_TEXT), *([F.col(contextual).alias(_SPANS)] if contextual else []))
+    found = named.select(*rest, _every_span(tuple(load() if patterns is None else patterns), bool(contextual), df.sparkSession.sparkContext).alias(out))
+    return found.select(*rest, resolved(F.col(f"`{out}`")).alias(out))
+
+
+@functools.lru_cache(maxsize=16)
+def _every_span(patterns: tuple[Pattern, ...], contextual: bool, context: SparkContext) -> Column:
+    """raw_spans over the fixed names. It takes thousands of calls to build, so it is built once for each context."""
+    return raw_spans(F.col(_TEXT), list(patterns), F.col(_SPANS) if contextual else None, _TEXT)
 
 
 def one_by_one(df: DataFrame, array: str, *columns: str) -> DataFrame:

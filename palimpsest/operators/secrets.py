@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.checks import bare_value, char_classes, compact_key, entropy
 
-from .spans import no_spans, regex_matches, span
+from .spans import let, no_spans, regex_matches, span
 
 MIN_LENGTH = 20
 MIN_ENTROPY = 3.5
@@ -21,6 +21,8 @@ _KEYWORDS = "client_secret|private_key|api_key|apikey|credential|password|secret
 _CLASS = "a-z0-9_. -"
 #: Part of every keyword, by its rarest letters, in either case and with the signs that fold to k and s.
 KEYWORD_GATE = r"[eE][cC][rR][eE][tT]|[tT][oO][kK\x{212A}][eE][nN]|[pP][aA][sS\x{017F}]{2}[wW]|[eE][sS\x{017F}]{2}[iI][oO][nN]|[kK\x{212A}][eE][yY]|[rR][eE][dD][eE][nN][tT]"
+#: Part of every AWS key.
+AWS_GATE = r"(?iu)secret[A-Z0-9_ -]*access|session_?token"
 #: A match may start only where a run of key characters starts, after ``export`` or a quote, or where the last match ended:
 #: the leftmost match is the same, and long runs of words are read once.
 AWS_ASSIGNMENT = rf"""(?i)(?:\bexport\s+["']?({_AWS_LONG}|{_AWS_SHORT})|["']({_AWS_LONG}|{_AWS_SHORT})|(?:(?<![A-Z0-9_ -])|\G)({_AWS_LONG})|({_AWS_SHORT})){_SEPARATOR}{_VALUE}"""
@@ -43,7 +45,8 @@ def aws_spans(text: Column) -> Column:
     session = lambda x: key(x).isin("awssessiontoken", "sessiontoken") & value(x).rlike(r"\A[A-Za-z0-9/+=]{80,}\z")
     found = F.filter(regex_matches(text, AWS_ASSIGNMENT, 6), lambda x: secret(x) | session(x))
     assigned = F.transform(found, lambda x: _credential(F.when(secret(x), "aws_secret_access_key").otherwise("aws_session_token"), x))
-    return F.concat(F.when(text.rlike("AKIA|ASIA"), ids).otherwise(no_spans()), assigned)
+    gated = lambda gate, spans: F.when(text.rlike(gate), spans).otherwise(no_spans())
+    return F.concat(gated("AKIA|ASIA", ids), gated(AWS_GATE, assigned))
 
 
 def generic_pattern(key: Column) -> Column:
@@ -67,5 +70,5 @@ def generic_spans(text: Column, taken: Column) -> Column:
 
 
 def secret_spans(text: Column) -> Column:
-    aws = aws_spans(text)
-    return F.when(text.rlike(f"AKIA|ASIA|{KEYWORD_GATE}"), F.concat(aws, generic_spans(text, aws))).otherwise(no_spans())
+    found = let(aws_spans(text), lambda aws: F.concat(aws, generic_spans(text, aws)))
+    return F.when(text.rlike(f"AKIA|ASIA|{KEYWORD_GATE}"), found).otherwise(no_spans())

@@ -38,10 +38,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def placed_matches(text: Column, java: str, groups: int = 0, size: Callable[[Column], Column] = F.octet_length) -> Column:
     """array<struct<matched, position, end, g1 ...>> of all non-empty matches. size: what positions count (bytes here).
 
-    Groups are taken from the text once each; the matches and the gaps between them are found once.
+    The text is read for matches and for the gaps between them; groups are taken from each match by itself, so an expression with
+    groups must match what it has matched once more without the text around it.
     """
-    inner = [F.regexp_extract_all(text, F.lit(java), F.lit(k + 1)).alias(f"g{k + 1}") for k in range(groups)]
-    found = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("m"), F.split(text, java, -1).alias("gap"), *inner)
+    inner = [(f"g{k + 1}", k + 1) for k in range(groups)]
+    found = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("m"), F.split(text, java, -1).alias("gap"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def ends(x: Column) -> Column:
@@ -49,8 +50,8 @@ def placed_matches(text: Column, java: str, groups: int = 0, size: Callable[[Col
         return F.aggregate(F.arrays_zip(x["m"].alias("m"), F.slice(x["gap"], F.lit(1), F.size(x["m"])).alias("gap")), start, step, lambda s: s["ends"])
 
     def placed(x: Column) -> Column:
-        rows = F.arrays_zip(x["m"].alias("m"), ends(x).alias("e"), *[x[f"g{k + 1}"].alias(f"g{k + 1}") for k in range(groups)])
-        return F.transform(rows, lambda r: F.struct(r["m"].alias("matched"), (r["e"] - size(r["m"])).cast("int").alias("position"), r["e"].alias("end"), *[r[f"g{k + 1}"].alias(f"g{k + 1}") for k in range(groups)]))
+        rows = F.arrays_zip(x["m"].alias("m"), ends(x).alias("e"))
+        return F.transform(rows, lambda r: F.struct(r["m"].alias("matched"), (r["e"] - size(r["m"])).cast("int").alias("position"), r["e"].alias("end"), *[F.regexp_extract(r["m"], java, k).alias(g) for g, k in inner]))
 
     return let(found, placed)
 

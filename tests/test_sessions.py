@@ -233,3 +233,25 @@ def test_decoding_of_tags():
     assert found.iloc[-2] is None and found.iloc[-1] is None
     for text, own, got in zip(texts, tokens, found, strict=False):
         assert [(s["label"], s["text"], s["start"], s["end"], round(s["score"], 9)) for s in got] == spans_of(text, own)
+
+
+def test_groups_of_matches_are_those_in_the_text(spark):
+    """Secrets' groups come from a match by itself, and texts without an AWS key's parts aren't searched."""
+    from palimpsest.functions.dialect import to_java
+    from palimpsest.operators import secrets
+    from palimpsest.operators.spans import placed_matches
+
+    rng = random.Random(12)
+    parts = ["export ", "aws", "AWS_", "secret", "SECRET_", "access", "_ACCESS_", "key", "KEY", "awsSecretAccessKey", "session_token", "SessionToken", "api_key", "token", "password", "my ", "x.", "=", " = ", ":", " is ", "'", '"', "abc", "v1,", ";", "\n", "K", "ſecret", " ", "-", "_"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(3, 30)))) for i in range(6000)]
+    df = spark.createDataFrame(texts, "i int, t string")
+    for regex, groups in ((secrets.AWS_ASSIGNMENT, 6), (secrets.GENERIC_ASSIGNMENT, 3)):
+        java = to_java(regex)
+        whole = F.arrays_zip(*[F.regexp_extract_all("t", F.lit(java), F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)])
+        ours = F.transform(placed_matches(F.col("t"), java, groups), lambda x: F.struct(*[x[f"g{k}"].alias(f"g{k}") for k in range(1, groups + 1)]))  # noqa: B023
+        # What a key is called is its groups together; only which branch has found it may differ.
+        key = lambda x: F.concat(*[F.coalesce(x[f"g{k}"], F.lit("")) for k in range(1, groups - 1)])  # noqa: B023, E731
+        flat = lambda c: F.transform(c, lambda x: F.struct(key(x), F.coalesce(x[f"g{groups - 1}"], F.lit("")), F.coalesce(x[f"g{groups}"], F.lit(""))))  # noqa: B023, E731
+        rows = df.select("t", flat(whole).alias("a"), flat(ours).alias("b"), F.col("t").rlike(secrets.AWS_GATE).alias("gate")).where(F.size("a") > 0).collect()
+        assert len(rows) > 200 and not [r.t for r in rows if list(map(tuple, r.a)) != list(map(tuple, r.b))][:3]
+        assert groups == 3 or all(r.gate for r in rows)
