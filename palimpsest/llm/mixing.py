@@ -65,9 +65,14 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), lambda x, r: turn(x, r).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
+def rank_key(id_column: str = "doc_id") -> Column:
+    """A digest of a row's id and text, which orders the documents of a source."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(text_of())))
+
+
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id, source, size, and where the row stands: the part of its source and its rank key in there."""
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(text_of())))
+    key = rank_key(id_column)
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -116,7 +121,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, sha
     inside = Window.partitionBy("source", "part").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = placed["source"].eqNullSafe(starts["source"]) & (placed["part"] == starts["part"])
-    placed = placed.join(starts, same).select(placed["doc_id"], placed["source"], "size", "source_size", "target", "number", (F.col("part_at") + F.col("in_part")).alias("at"))
+    placed = placed.join(starts, same).select(placed["doc_id"], placed["source"], "size", "rank_key", "source_size", "target", "number", (F.col("part_at") + F.col("in_part")).alias("at"))
 
     # Slots: every source's tickets, in runs that unfold in parallel.
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,16 +152,16 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, sha
 
 def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(documents with their place, pieces of the mix). A piece is a run of one document's words in one slot of one shard:
-    number, at, size, doc_id, shard, position, offset (in the slot), pass, first (word of the document, from 0), words."""
+    number, source, at, size, doc_id, rank_key, shard, position, offset (in the slot), pass, first (word of the document, from 0), words."""
     placed, slots = mix_plan(docs, id_column, block, shard)
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
-    cut = placed.where("size > 0").select("number", "doc_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("block"))
+    cut = placed.where("size > 0").select("number", "source", "doc_id", "rank_key", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("block"))
     # The planner knows the slots' size only before they unfold; a merge join keeps it from broadcasting them.
     joined = cut.join(slots.hint("merge"), ["number", "block"])
     begin = F.greatest(F.col("at"), F.col("block") * block)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words"))
     pieces = joined.select(
-        "number", "at", "size", "doc_id", "shard", "position", (begin - F.col("block") * block).alias("offset"), "pass",
+        "number", "source", "at", "size", "doc_id", "rank_key", "shard", "position", (begin - F.col("block") * block).alias("offset"), "pass",
         (begin - F.col("at")).alias("first"), (end - begin).alias("words"),
     ).where("words > 0")
     return placed, pieces
@@ -177,18 +182,19 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     space that stood behind each. n_chars, where there is such a column, is the new text's length.
     """
     _, pieces = mix(docs, id_column)
-    runs = pieces.groupBy("number", "at", "size", "doc_id", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
+    runs = pieces.groupBy("source", "rank_key", "at", "size", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
     return _cut(docs, runs, id_column)
 
 
 def _cut(docs: DataFrame, runs: DataFrame, id_column: str) -> DataFrame:
-    """Joins the runs to the texts by id and size. Rows that share an id and a size share their passes' runs one to one."""
-    key = ["mix_id", "mix_size", "mix_nth"]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("mix_id"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("mix_size"), F.xxhash64("text").alias("mix_hash"))
-    row = row.where("mix_size > 0").withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id", "mix_size").orderBy("mix_hash"))).drop("mix_hash")
-    place = Window.partitionBy("mix_id", "mix_size").orderBy("number", "at")
-    wanted = runs.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), "number", "at", "pass", "taken", "runs").withColumn("mix_nth", F.dense_rank().over(place))
-    matched = row.join(wanted, [row[k].eqNullSafe(wanted[k]) for k in key]).select("row", "taken", "runs", row["mix_size"])
+    """Joins the runs to the texts by source and rank key (id and text). Only rows that agree in all of these share their runs,
+    one to one: they are numbered among themselves, runs by place."""
+    key = ["mix_source", "mix_key", "mix_nth"]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("mix_source"), rank_key(id_column).alias("mix_key"))
+    row = row.where(text_of("row.text").rlike(WORD)).withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_source", "mix_key").orderBy(F.xxhash64("row"))))
+    place = Window.partitionBy("source", "rank_key").orderBy("at")
+    wanted = runs.withColumn("nth", F.dense_rank().over(place)).select(F.col("source").alias("mix_source"), F.col("rank_key").alias("mix_key"), F.col("nth").alias("mix_nth"), F.col("size").alias("mix_size"), "taken", "runs")
+    matched = row.join(wanted, [row[k].eqNullSafe(wanted[k]) for k in key]).select("row", "taken", "runs", "mix_size")
     whole = F.col("taken") == F.col("mix_size")
     words = matched.withColumn("words", F.when(~whole, F.regexp_extract_all(F.col("row.text"), F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0))))
     kept = F.flatten(F.transform("runs", lambda r: F.slice(F.col("words"), (r["first"] + 1).cast("int"), r["words"].cast("int"))))
