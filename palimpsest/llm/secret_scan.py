@@ -1,10 +1,10 @@
 """Secret scans: patterns over texts and over every layer that can be decoded out of them.
 
-A worklist holds layers of a text. Each layer is scanned; then its encoded parts are unwrapped (percent escapes, backslash-u
+A worklist holds layers of a text. Each layer is scanned; then its encoded parts are unwrapped (percent escapes, backslash-u, backslash-U
 and backslash-x escapes, base64 and compressed data in base64) and the results join the list, until nothing new appears. A
 layer whose characters were seen before for the same stretches of the text is not taken again, so cycles end. Every layer knows, for each of its
 characters, which stretch of the outermost text it came from, and spans found in it are mapped there; a span in a base64 part
-is the whole part. Base64 that is wrapped over lines is one part, from its first line to its last; compressed data may have
+is the whole part. Base64 may touch other characters of its alphabet, and hold UTF-16. Base64 that is wrapped over lines is one part, from its first line to its last; compressed data may have
 several members.
 
 Base spans of the text itself always stay. Spans from layers are added unless they are already there.
@@ -18,13 +18,12 @@ a row is marked in ``oversize``. Bytes that are no UTF-8 don't end a layer.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pandas as pd
@@ -46,7 +45,7 @@ UNPACKED = 64 << 20
 PIECE, OVERLAP = 1 << 20, 1 << 16
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
+_ESCAPE = re.compile(r"\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Base64 characters over two or more lines, which may be indented; the second pattern finds the characters of a line.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
@@ -54,6 +53,14 @@ _CHUNK = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Least characters of a base64 part: 12 hold 9 bytes, and the shortest span has 12.
 MIN_PART = 12
 _ASCII = re.compile(rb"[\t\n\r\x20-\x7E]{12}")
+_PRINTED = re.compile(rb"(?:\x00?[\t\n\r\x20-\x7E]){12,}")
+#: Different bytes of such a run, where a part is not read from its first character.
+LEAST_LETTERS = 10
+#: The same in UTF-16 of either order.
+_WIDE = ((re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){12}"), "utf-16-le"), (re.compile(rb"(?:\x00[\t\n\r\x20-\x7E]){12}"), "utf-16-be"))
+#: The URL-safe letters as the standard ones; and how compressed data begins.
+_STANDARD = str.maketrans("-_", "+/")
+_HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 
 Span = tuple[str, int, int]
 
@@ -67,46 +74,57 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text with the outer stretch of each character; the outermost layer is its own map."""
+    """A decoded text with the outer stretch of each character: a list of begins and ends, or one stretch for all (two numbers).
+    The outermost layer has none and is its own map."""
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: list[int] | int | None = None, ends: list[int] | int | None = None):
         self.text, self.starts, self.ends = text, starts, ends
 
     def outer(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return min(self.starts[start:end]), max(self.ends[start:end])
 
     def key(self) -> tuple:
-        """The characters and their stretches; one stretch for all counts once."""
+        """The characters (their digest) and their stretches; one stretch for all counts once."""
+        digest = hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
+        if isinstance(self.starts, int):
+            return digest, self.starts, self.ends
         if self.text and self.starts.count(self.starts[0]) == self.ends.count(self.ends[0]) == len(self.text):
-            return self.text, self.starts[0], self.ends[0]
-        return self.text, tuple(self.starts), tuple(self.ends)
+            return digest, self.starts[0], self.ends[0]
+        return digest, tuple(self.starts), tuple(self.ends)
 
-    def rewritten(self, pieces: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
+    def rewritten(self, pieces: Iterable[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
         """The layer with each stretch (start, end) replaced by characters, which bring their stretch of this layer."""
         text: list[str] = []
         starts: list[int] = []
         ends: list[int] = []
+        one = isinstance(self.starts, int)
 
         def copy(a: int, b: int) -> None:
             text.append(self.text[a:b])
-            starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
-            ends.extend(range(a + 1, b + 1) if self.ends is None else self.ends[a:b])
+            if not one:
+                starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
+                ends.extend(range(a + 1, b + 1) if self.ends is None else self.ends[a:b])
 
         at = 0
         for a, b, chars in pieces:
             copy(at, a)
-            for c, x, y in chars:
-                s, e = self.outer(x, y)
-                text.append(c)
-                starts.append(s)
-                ends.append(e)
+            if one:
+                text.append("".join(c for c, _, _ in chars))
+            else:
+                for c, x, y in chars:
+                    s, e = self.outer(x, y)
+                    text.append(c)
+                    starts.append(s)
+                    ends.append(e)
             at = b
         copy(at, len(self.text))
-        return Layer("".join(text), starts, ends)
+        return Layer("".join(text), self.starts, self.ends) if one else Layer("".join(text), starts, ends)
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -202,24 +220,50 @@ def _unpacked(data: bytes) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text; what is no UTF-8 becomes U+FFFD. None if no run of ASCII is as long as the shortest span (12)."""
-    return data.decode("utf-8", "replace") if _ASCII.search(data) else None
+def _readable(data: bytes) -> Iterator[str]:
+    """The bytes as text: as UTF-8 (what is none becomes U+FFFD) if a run of ASCII is as long as the shortest span (12), and as
+    UTF-16 of either order if such a run is."""
+    if _ASCII.search(data):
+        yield data.decode("utf-8", "replace")
+    for form, name in _WIDE:
+        # Two runs may begin at different parities.
+        for parity in sorted({m.start() % 2 for m in form.finditer(data)}):
+            yield data[parity : len(data) - (len(data) - parity) % 2].decode(name, "replace")
 
 
-def _base64(text: str) -> str | None:
-    body = text.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _opens(data: memoryview, at: int, opened: Callable) -> bool:
+    """Whether compressed data may begin there: its first bytes unfold without an error."""
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    met = {data}
-    while (inner := _unpacked(data)) is not None and inner not in met:
-        met.add(inner)
-        data = inner
-    return _readable(data)
+        opened().decompress(data[at : at + 512], 1)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return False
+    return True
+
+
+def _base64(text: str) -> Iterator[bytes]:
+    """What a run of base64 characters may stand for: compressed data in it unfolded, and all of it as it is.
+
+    Encoded data may touch other characters of the alphabet (a key before it, a path around it), so the run is decoded from each
+    of its first four characters: one of the four meets the data wherever it begins. Compressed data is looked for by its first
+    bytes.
+    """
+    body = text.rstrip("=").translate(_STANDARD)
+    for shift in range(4):
+        part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+        if len(part) < MIN_PART:
+            continue
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        # Read from another character, encoded repetitions of a few bytes look like other repetitions: those are no text.
+        view = memoryview(data)
+        packed = any(data.startswith(head) and _opens(view, 0, opened) for head, opened in _FORMS)
+        if not packed and (not shift or any(len(set(m[0])) >= LEAST_LETTERS for m in _PRINTED.finditer(data))):
+            yield data
+        for m in _HEAD.finditer(data):
+            if any(data.startswith(head, m.start()) and _opens(view, m.start(), opened) for head, opened in _FORMS):
+                inner, met = data[m.start() :], set()
+                while (inner := _unpacked(inner)) is not None and (key := hashlib.sha256(inner).digest()) not in met:
+                    met.add(key)
+                    yield inner
 
 
 def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
@@ -259,15 +303,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], bool]:
             rewritten = (_percent(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text else None)
             inner = [(x.key(), x) for x in rewritten if x is not None]
             for start, end, part in chain(((m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer.text)), _wrapped(layer.text)):
+                a, b = layer.outer(start, end)
                 try:
-                    plain = _base64(part)
+                    for data in _base64(part):
+                        inner += [((y := Layer(plain, a, b)).key(), y) for plain in _readable(data)]
                 except Oversize as e:
                     oversize = True
-                    found.update((kind, *layer.outer(start, end)) for kind in streamed_kinds(e.args[0]))
-                    continue
-                if plain:
-                    a, b = layer.outer(start, end)
-                    inner.append(((plain, a, b), Layer(plain, [a] * len(plain), [b] * len(plain))))
+                    found.update((kind, a, b) for kind in streamed_kinds(e.args[0]))
             for key, x in inner:
                 if key not in seen:
                     seen.add(key)

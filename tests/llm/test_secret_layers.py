@@ -79,3 +79,36 @@ def test_deep_layers_and_large_parts():
     for packed in (zlib.compress, bz2.compress, lzma.compress):
         _, found, oversize = secret_scan.all_spans("x " + base64.b64encode(packed(big)).decode())
         assert oversize and [k for k, _, _ in found] == ["assign"]
+
+
+@pytest.mark.parametrize("before", ("id_", "a", "ab", "abc", "-", "https://h/x/", "key=", "x+y/"))
+@pytest.mark.parametrize("after", ("", "-x", "/tail/more", "_", "zz"))
+@pytest.mark.parametrize("packed", (bytes, gzip.compress, bz2.compress, zlib.compress, lzma.compress))
+def test_base64_that_touches_its_alphabet(before, after, packed):
+    """Encoded parts are found wherever they begin in a run of base64 characters; the span is the run."""
+    part = base64.b64encode(packed(b"password=hunter22secret and more words")).decode().rstrip("=")
+    text = f"see {before}{part}{after} end"
+    kinds = [s for s in secret_scan.all_spans(text)[1] if s[0] == "assign"]
+    start = text.index(part)
+    assert any(a <= start and b >= start + len(part) for _, a, b in kinds), text
+
+
+@pytest.mark.parametrize("code", ("utf-16-le", "utf-16-be", "utf-16"))
+def test_utf_16_in_base64(code):
+    for pad in (b"", b"z"):
+        part = base64.b64encode(pad + "token: abcdef12345".encode(code)).decode()
+        assert secret_scan.all_spans(f"x {part} y")[1] == [("assign", 2, 2 + len(part))]
+
+
+def test_eight_digit_escapes():
+    text = "".join(f"\\U{ord(c):08x}" for c in "secret=abcdefg")
+    assert secret_scan.all_spans(text)[1] == [("assign", 0, len(text))]
+
+
+def test_large_layers_hold_one_stretch():
+    """A part that unfolds to some megabytes has two numbers for all of its characters, also where it is encoded once more."""
+    inner = base64.b64encode(b"secret=abcdef123 and more").decode()
+    part = base64.b64encode(gzip.compress(b"filler words %41 " * 200_000 + inner.encode())).decode()
+    assert secret_scan.all_spans(f"x {part}")[1] == [("assign", 2, 2 + len(part))]
+    layer = secret_scan.Layer("a%41b" * 10, 3, 9)
+    assert secret_scan._percent(layer).starts == 3 and secret_scan._percent(layer).text == "aAb" * 10 and layer.outer(4, 5) == (3, 9)
