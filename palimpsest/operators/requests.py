@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,24 +29,66 @@ class BadRequest(ValueError):
         self.status = status
 
 
+#: A column of item fields: types that a field may have besides null.
+_TYPES = {"id": "STRING", "prompt": "STRING", "session_id": "STRING", "sanitization_mode": "STRING", "slm": "BOOLEAN"}
+_OBJECT = "map<string,variant>"
+
+
+def whole_json(body: Column) -> Column:
+    """body as VARIANT; null if it is no JSON or goes on behind its end.
+
+    The parser stops at the end of a value, so the body is put into an array before its own digest: only a body that is one whole
+    value leaves exactly the two.
+    """
+    seal = F.sha2(body, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), seal, F.lit('"]')))
+    two = F.try_variant_get(pair, "$", "array<variant>")
+    whole = (F.size(two) == 2) & (F.try_variant_get(F.get(two, F.lit(1)), "$", "string") == seal)
+    return F.when(whole, F.get(two, F.lit(0)))
+
+
+def envelopes(bodies: DataFrame, body: str = "body", limits: Limits = Limits()) -> DataFrame:
+    """bodies with status (what an HTTP server would answer: 200, 400 or 413), reason (null for 200) and items (array<ITEM>).
+
+    An envelope is an object whose only field is ``items``, a list of objects with known fields of their types; null counts as
+    absent. What is refused is refused as a whole and has no items. Everything is expressions over a VARIANT: a table of requests is read without Python.
+    """
+    keys = lambda v: F.map_keys(F.try_variant_get(v, "$", _OBJECT))
+    read = bodies.withColumn("_v", F.when(F.octet_length(body) <= limits.max_body_bytes, whole_json(F.col(body))))
+    read = read.withColumns({"_keys": keys(F.col("_v")), "_list": F.try_variant_get("_v", "$.items", "array<variant>"), "_kind": F.schema_of_variant(F.try_variant_get("_v", "$.items", "variant"))})
+    field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    unknown = lambda x: keys(x).isNull() | (F.size(F.array_except(keys(x), F.array(*map(F.lit, sorted(_FIELDS))))) > 0)
+
+    def mistyped(x: Column) -> Column:
+        out = F.lit(False)
+        for name, kind in _TYPES.items():
+            out |= ~F.coalesce(F.schema_of_variant(field(x, name)), F.lit("VOID")).isin(kind, "VOID")
+        return out
+
+    reason = (
+        F.when(F.octet_length(body) > limits.max_body_bytes, "body too large").when(F.col("_v").isNull(), "invalid JSON")
+        .when(F.col("_keys").isNull() | (F.size(F.array_except("_keys", F.array(F.lit("items")))) > 0) | (F.col("_list").isNull() & ~F.coalesce("_kind", F.lit("VOID")).isin("VOID")), "unknown field")
+        .when(F.coalesce(F.size("_list"), F.lit(0)) <= 0, "no items").when(F.size("_list") > limits.max_items, "too many items")
+        .when(F.exists("_list", unknown), "unknown field").when(F.exists("_list", mistyped), "invalid JSON")
+    )
+    item = lambda x, i: F.struct(i.alias("item_index"), *[F.try_variant_get(x, f"$.{n}", "boolean" if n == "slm" else "string").alias(n) for n in ("id", "prompt", "session_id", "sanitization_mode", "slm")])
+    judged = read.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNull(), 200).when(F.col("reason") == "body too large", 413).otherwise(400)
+    return judged.withColumns({"status": status, "items": F.when(F.col("reason").isNull(), F.transform("_list", item))}).drop("_v", "_keys", "_list", "_kind")
+
+
+def envelope_items(read: DataFrame, *keys: str) -> DataFrame:
+    """A row for each item of the envelopes that hold: the named columns and ITEM."""
+    return read.where("status = 200").select(*keys, F.explode("items").alias("x")).select(*keys, "x.*")
+
+
 def read_envelope(spark: SparkSession, body: str, limits: Limits = Limits()) -> DataFrame:
     """The items of one JSON envelope, or BadRequest."""
-    if len(body.encode()) > limits.max_body_bytes:
-        raise BadRequest(413, "body too large")
-    try:
-        parsed = json.loads(body)
-    except ValueError as e:
-        raise BadRequest(400, "invalid JSON") from e
-    if not isinstance(parsed, dict) or set(parsed) - {"items"} or not isinstance(parsed.get("items") or [], list):
-        raise BadRequest(400, "unknown field")
-    items = parsed.get("items") or []
-    if not items:
-        raise BadRequest(400, "no items")
-    if len(items) > limits.max_items:
-        raise BadRequest(400, "too many items")
-    if any(not isinstance(x, dict) or set(x) - _FIELDS for x in items):
-        raise BadRequest(400, "unknown field")
-    return spark.createDataFrame([(i, *(x.get(f) for f in ("id", "prompt", "session_id", "sanitization_mode", "slm"))) for i, x in enumerate(items)], ITEM)
+    read = envelopes(spark.createDataFrame([(body,)], "body string"), limits=limits)
+    answer = read.select("status", "reason").first()
+    if answer.reason is not None:
+        raise BadRequest(answer.status, answer.reason)
+    return envelope_items(read)
 
 
 def item_error(limits: Limits = Limits(), prefix: str = PREFIX) -> Column:
@@ -88,9 +129,13 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def mode_counts(items: DataFrame) -> DataFrame:
+def mode_aggregates() -> list[Column]:
     """How many items ask for each mode, and how many for the contextual model."""
-    return items.agg(*[F.count_if(F.coalesce("sanitization_mode", F.lit("")) == m).alias(m) for m in MODES], F.count_if(F.coalesce("slm", F.lit(False))).alias("slm"))
+    return [*[F.count_if(F.coalesce("sanitization_mode", F.lit("")) == m).alias(m) for m in MODES], F.count_if(F.coalesce("slm", F.lit(False))).alias("slm")]
+
+
+def mode_counts(items: DataFrame) -> DataFrame:
+    return items.agg(*mode_aggregates())
 
 
 def request_totals(df: DataFrame, request: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import contextual, lifecycle, vault
+from palimpsest.operators import contextual, lifecycle, requests, saves, vault
 from palimpsest.operators.spans import placed_matches
 
 #: Conversations have no times: one begins every START_S seconds, and its turns follow at growing distances, the fifth after more
@@ -82,8 +82,70 @@ def bioes_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("conv_id", "turn", "s.label", "s.text", "s.start", "s.end", F.round(F.col("s.score") * 1e6).cast("long").alias("score"))
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch request for each conversation; most kinds of conversations, by id, break their request in some way."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    fields = [F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("prompt"), F.when(F.col("turn") == 2, "vlt_no").when(F.col("turn") == 3, f"vlt_{'0' * 36}").alias("session_id"), F.when(F.col("turn") == 4, "other").when(F.col("turn") == 5, "tokenize").alias("sanitization_mode"), (F.col("turn") == 1).alias("slm")]
+    turns = _turns(spark, sf_dir).select("conv_id", F.struct("turn", F.to_json(F.struct(*fields)).alias("item")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    items = F.array_join(F.transform("xs", lambda x: x["item"]), ",")
+    whole = F.concat(F.lit('{"items":['), items, F.lit("]}"))
+    kind = F.col("conv_id") % 12
+    broken = {
+        1: F.concat(whole, F.lit(" {}")), 2: F.expr("substring(whole, 1, length(whole) - 1)"), 3: F.concat(F.lit('{"mode":"x",'), F.substring(F.col("whole"), 2, 1 << 30)), 4: F.lit('{"items":[]}'), 5: F.lit('{"items":null}'),
+        6: F.concat(F.lit('{"items":[{"id":"a","role":"user"},'), items, F.lit("]}")), 7: F.concat(F.lit('{"items":[{"id":7},'), items, F.lit("]}")), 8: F.lit('{"items":{"id":"a"}}'),
+    }
+    body = F.col("whole")
+    for k, b in broken.items():
+        body = F.when(kind == k, b).otherwise(body)
+    return turns.withColumn("whole", whole).select("conv_id", body.alias("body"))
+
+
+def _saves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vaults of the words of each first turn, their versions, a save for each later turn; every third read an old version)."""
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("save_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    words = F.filter("w", lambda w: F.length(w) >= 6)
+    first = turns.where("save_id = 0").select("session_id", F.posexplode(F.array_distinct(words)).alias("i", "matched"))
+    tokens = first.select("session_id", "matched", F.lit("default").alias("gen_key"), (F.col("i") + 1).alias("seq"))
+    versions = turns.where("save_id = 0").select("session_id", F.lit(1).cast("long").alias("payload_version"))
+    values = F.transform(words, lambda w: F.struct(w.alias("matched"), F.lit("passport").alias("pattern")))
+    return tokens, versions, turns.where("save_id > 0").select("session_id", "save_id", F.when(F.col("save_id") % 3 == 1, 0).otherwise(1).cast("long").alias("base_version"), values.alias("values"))
+
+
+def vault_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which concurrent saves are stored, at which try and version."""
+    _, versions, saved = _saves(spark, sf_dir)
+    return saves.judged(saved, versions).select("session_id", "save_id", "status", "tries", "payload_version")
+
+
+def vault_saved_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vaults' numbers after those saves."""
+    tokens, versions, saved = _saves(spark, sf_dir)
+    return saves.folded(tokens, saves.judged(saved, versions))
+
+
+LIMITS = requests.Limits(max_items=6, max_prompt_bytes=700)
+
+
+def request_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and reason of each conversation's request, and how many items it has."""
+    read = requests.envelopes(_bodies(spark, sf_dir), limits=LIMITS)
+    return read.select("conv_id", "status", "reason", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"))
+
+
+def request_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the requests that hold, with the first check that each fails."""
+    items = requests.envelope_items(requests.envelopes(_bodies(spark, sf_dir), limits=LIMITS), "conv_id")
+    return items.select("conv_id", "item_index", "id", "prompt", "session_id", "sanitization_mode", "slm", requests.item_error(LIMITS).alias("error_code"))
+
+
+def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation's request asks for: modes, and items for the model."""
+    items = requests.envelope_items(requests.envelopes(_bodies(spark, sf_dir), limits=LIMITS), "conv_id")
+    return items.groupBy("conv_id").agg(*requests.mode_aggregates())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+    return {f.__name__: f for f in (vault_saves, vault_saved_numbers, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
 
 
 _TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
@@ -108,7 +170,29 @@ def _numbers_sql() -> str:
 def oracle_sql() -> dict:
     room = "STRUCT(s VARCHAR, e BIGINT)[]"
     tags = "[" + ", ".join(f"'{t}'" for t in TAGS) + "]"
+    sent = f"""n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+e AS (SELECT *, conv_id % 12 AS k, CASE WHEN k IN (1, 2, 7) THEN 'invalid JSON' WHEN k IN (3, 8) THEN 'unknown field' WHEN k IN (4, 5) THEN 'no items' WHEN n > {LIMITS.max_items} OR k IN (6, 7) AND n + 1 > {LIMITS.max_items} THEN 'too many items' WHEN k = 6 THEN 'unknown field' END AS reason FROM n),
+f AS (SELECT conv_id, n, k, CASE WHEN k = 7 AND n + 1 > {LIMITS.max_items} THEN 'too many items' ELSE reason END AS reason FROM e),
+i AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS item_index, conv_id || '-' || turn AS id, coalesce(text, '') AS prompt, CASE turn WHEN 2 THEN 'vlt_no' WHEN 3 THEN 'vlt_{'0' * 36}' END AS session_id,
+             CASE turn WHEN 4 THEN 'other' WHEN 5 THEN 'tokenize' END AS sanitization_mode, turn = 1 AS slm FROM conversations JOIN f USING (conv_id) WHERE reason IS NULL)"""
+    # Round by round: of the pending saves that read the current version the first is stored, the others read the new one.
+    rounds = rf"""t AS (SELECT conv_id::VARCHAR AS s, turn AS o, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6) AS w FROM conversations),
+p AS (
+  SELECT s, 0 AS round, CASE WHEN bool_or(o = 0) THEN 1 ELSE 0 END::BIGINT AS version, list({{'o': o, 'b': CASE WHEN o % 3 = 1 THEN 0 ELSE 1 END}} ORDER BY o) FILTER (WHERE o > 0) AS pending, NULL::BIGINT AS won FROM t GROUP BY s
+  UNION ALL
+  SELECT s, round + 1, version + CASE WHEN w IS NULL THEN 0 ELSE 1 END, list_transform(list_filter(pending, lambda x: w IS NULL OR x.o <> w), lambda x: {{'o': x.o, 'b': (version + CASE WHEN w IS NULL THEN 0 ELSE 1 END)::INT}}), w
+  FROM (SELECT *, list_min(list_transform(list_filter(pending, lambda x: x.b = version), lambda x: x.o)) AS w FROM p WHERE round < {saves.ATTEMPTS} AND len(pending) > 0)),
+j AS (SELECT t.s, t.o, w, round, version FROM t LEFT JOIN p ON p.s = t.s AND p.won = t.o WHERE t.o > 0)"""
     return {
+        "vault_saves": f"WITH RECURSIVE {rounds} SELECT s AS session_id, o AS save_id, CASE WHEN round IS NULL THEN 'conflict' ELSE 'saved' END AS status, coalesce(round, {saves.ATTEMPTS})::INT AS tries, version AS payload_version FROM j",
+        "vault_saved_numbers": f"""WITH RECURSIVE {rounds},
+a AS (SELECT s, 1::BIGINT AS version, NULL::BIGINT AS added, w FROM t WHERE o = 0 UNION ALL SELECT s, version, version, w FROM j WHERE round IS NOT NULL),
+u AS (SELECT s, version, added, unnest(w) AS matched, generate_subscripts(w, 1) AS i FROM a),
+f AS (SELECT s, matched, min((version, i)) AS ord, nullif(min(version), 1) AS added FROM u GROUP BY s, matched)
+SELECT s AS session_id, matched, 'default' AS gen_key, row_number() OVER (PARTITION BY s ORDER BY ord) AS seq, added AS payload_version FROM f""",
+        "request_envelopes": f"WITH {sent} SELECT conv_id, CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status, reason, CASE WHEN reason IS NULL THEN n ELSE 0 END::INT AS n_items FROM f",
+        "request_items": f"WITH {sent} SELECT *, CASE WHEN prompt = '' THEN 'missing_prompt' WHEN strlen(prompt) > {LIMITS.max_prompt_bytes} THEN 'prompt_too_large' WHEN session_id = 'vlt_no' THEN 'invalid_session_id' WHEN sanitization_mode = 'other' THEN 'invalid_sanitization_mode' END AS error_code FROM i",
+        "request_summary": f"WITH {sent} SELECT conv_id, count(*) FILTER (WHERE sanitization_mode = 'redact') AS redact, count(*) FILTER (WHERE sanitization_mode = 'tokenize') AS tokenize, count(*) FILTER (WHERE slm) AS slm FROM i GROUP BY conv_id",
         "vault_lifecycle": f"""WITH {_TIMES}, {_EPOCHS},
 v AS (SELECT s, epoch, min(tm) AS a, max(tm) + {lifecycle.TTL_S} AS b, count(*) AS n FROM e GROUP BY ALL)
 SELECT s AS session_id, epoch, a AS started_at, b AS expires_at, n AS requests, (SELECT count(*) FROM v x WHERE (x.a, x.s, x.epoch) <= (v.a, v.s, v.epoch) AND x.b > v.a)::BIGINT AS live FROM v""",

@@ -255,3 +255,76 @@ def test_groups_of_matches_are_those_in_the_text(spark):
         rows = df.select("t", flat(whole).alias("a"), flat(ours).alias("b"), F.col("t").rlike(secrets.AWS_GATE).alias("gate")).where(F.size("a") > 0).collect()
         assert len(rows) > 200 and not [r.t for r in rows if list(map(tuple, r.a)) != list(map(tuple, r.b))][:3]
         assert groups == 3 or all(r.gate for r in rows)
+
+
+def test_concurrent_saves_equal_a_replay(spark):
+    from palimpsest.operators import saves
+
+    rng = random.Random(5)
+    stored, tokens, rows = {}, [], []
+    for k in range(60):
+        s, version = f"s{k}", rng.randint(0, 3)
+        if version:
+            stored[s] = version
+            tokens += [(s, f"v{n}", "default", n + 1) for n in range(rng.randint(0, 3))]
+        for i in range(rng.randint(0, 6)):
+            base = rng.choice([version, version, rng.randint(0, 4), None])
+            rows.append((s, 10 * i, base, [(f"v{rng.randrange(9)}", rng.choice(["passport", "email"])) for _ in range(rng.randint(0, 4))]))
+    frame = spark.createDataFrame(rows, "session_id string, save_id long, base_version long, values array<struct<matched:string,pattern:string>>")
+    outcome = saves.judged(frame, spark.createDataFrame(list(stored.items()), "session_id string, payload_version long"))
+    held = spark.createDataFrame(tokens, "session_id string, matched string, gen_key string, seq int")
+    got = {(r.session_id, r.save_id): (r.status, r.tries, r.payload_version) for r in outcome.collect()}
+    vaults = {(s, m): (kind, n) for s, m, kind, n in tokens}
+    want = {}
+    for s in sorted({r[0] for r in rows}):
+        version, pending = stored.get(s, 0), [[r[1], r[2] or 0, r[3]] for r in rows if r[0] == s]
+        for tries in (1, 2, 3):
+            winner = next((p for p in pending if p[1] == version), None)
+            if winner:
+                pending.remove(winner)
+                version += 1
+                want[s, winner[0]] = ("saved", tries, version)
+                for m, pattern in winner[2]:
+                    kind = "email" if pattern == "email" else "default"
+                    vaults.setdefault((s, m), (kind, 1 + max([n for (x, _), (k, n) in vaults.items() if x == s and k == kind], default=0)))
+            for p in pending:
+                p[1] = version
+        want |= {(s, p[0]): ("conflict", 3, None) for p in pending}
+    assert got == want
+    assert {(r.session_id, r.matched): (r.gen_key, r.seq) for r in saves.folded(held, outcome).collect()} == vaults
+
+
+def test_envelopes_of_a_table(spark):
+    import json
+
+    from palimpsest.operators import requests
+
+    rng = random.Random(3)
+    bodies = ['{"items":[{"id":"a","prompt":"x"}]} ', '{"items":[{"prompt":null,"slm":false}]}', "", " ", "null", "[]", "7", '{"items":[]}]', '{"items":[{"id":"a"}],"x":1}', '{"items":"x"}', '{"items":[3]}', '{"items":[{"slm":"yes"}]}', '{"items":[{"id":"é","session_id":""}]}\n', None]
+    good = '{"items":[{"id":"a","prompt":"x, y","session_id":"","sanitization_mode":"redact","slm":true},{"id":"b"}]}'
+    for _ in range(150):
+        at = rng.randrange(len(good))
+        bodies.append(good[:at] + rng.choice(["", "]", "}", ",", '"', "x"]) + good[at + rng.randint(0, 2) :])
+
+    def status(body):
+        try:
+            v = json.loads(body)
+        except (ValueError, TypeError):
+            return 400, "invalid JSON"
+        if not isinstance(v, dict) or set(v) - {"items"} or not isinstance(v.get("items") or [], list) or v.get("items") is not None and not isinstance(v["items"], list):
+            return 400, "unknown field"
+        items = v.get("items") or []
+        if not items:
+            return 400, "no items"
+        if any(not isinstance(x, dict) or set(x) - {"id", "prompt", "session_id", "sanitization_mode", "slm"} for x in items):
+            return 400, "unknown field"
+        if any(not isinstance(x[k], bool if k == "slm" else str) and x[k] is not None for x in items for k in x):
+            return 400, "invalid JSON"
+        return 200, None
+
+    read = requests.envelopes(spark.createDataFrame(list(enumerate(bodies)), "i int, body string"))
+    rows = {r.i: r for r in read.collect()}
+    for i, body in enumerate(bodies):
+        assert (rows[i].status, rows[i].reason) == status(body), body
+    items = requests.envelope_items(read, "i").where("i = 0").collect()
+    assert [(r.item_index, r.id, r.prompt, r.slm) for r in items] == [(0, "a", "x", None)]
