@@ -113,8 +113,8 @@ def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entropy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of the fixed texts in thousandths, rounded."""
-    return spark.createDataFrame(TEXTS, "id long, t string").where("t <> ''").select("id", F.round(entropy(F.col("t")) * 1000).cast("long").alias("millibits"))
+    """Entropy of the texts in thousandths, rounded."""
+    return _documents(spark, sf_dir).where("t <> ''").select("id", F.round(entropy(F.col("t")) * 1000).cast("long").alias("millibits"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +155,27 @@ def _items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ITEMS, requests.ITEM)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def _picked(values: list[str], number: Column) -> Column:
+    """One of a list by number, round and round."""
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
+
+
+def _all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed items and an item for each turn of the conversations, some of them wrong."""
+    turn = F.col("turn")
+    sent = _turns(spark, sf_dir).select(
+        (1000 + F.col("conv_id") * 100 + turn).cast("int").alias("item_index"), F.col("conv_id").cast("string").alias("id"), F.when(turn != 6, F.col("text")).alias("prompt"),
+        F.when(turn == 2, "bad").when(turn == 3, f"vlt_{'a' * 36}").alias("session_id"), _picked(["redact", "", "tokenize", "mask"], F.col("conv_id") + turn).alias("sanitization_mode"), (turn == 1).alias("slm"),
+    )
+    return _items(spark).unionAll(sent)
+
+
 def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark).select("item_index", requests.item_error().alias("error_code"))
+    return _all_items(spark, sf_dir).select("item_index", requests.item_error().alias("error_code"))
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,23 +183,30 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.mode_counts(_items(spark))
+    return requests.mode_counts(_all_items(spark, sf_dir))
 
 
 def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each turn: how many turns each model has, and where it goes."""
     exact, prefixes = routing.routes(spark, EXACT)
-    return routing.route(spark.createDataFrame([(m,) for m in MODELS], "model string"), exact, prefixes).select("model", "provider")
+    model = F.concat(_picked(MODELS, F.col("conv_id")), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("-"), F.col("turn").cast("string"))).otherwise(""))
+    asked = _turns(spark, sf_dir).select(model.alias("model")).unionAll(spark.createDataFrame([(m,) for m in MODELS], "model string"))
+    return routing.route(asked, exact, prefixes).groupBy("model", "provider").agg(F.count(F.lit(1)).alias("n"))
 
 
 def capability_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(p, r, s) for p in payload.PROVIDERS for r in ("chat", "responses") for s in (False, True)], "provider string, route string, stream boolean")
-    return routing.check_capability(asked, routing.capabilities(spark))
+    """A provider, route and stream flag for each turn: what is supported, and how often it is asked for."""
+    fixed = spark.createDataFrame([(p, r, s) for p in payload.PROVIDERS for r in ("chat", "responses") for s in (False, True)], "provider string, route string, stream boolean")
+    asked = _turns(spark, sf_dir).select(_picked([*payload.PROVIDERS, "other"], F.col("conv_id")).alias("provider"), _picked(["chat", "responses", "odd"], F.col("turn")).alias("route"), ((F.col("conv_id") + F.col("turn")) % 2 == 0).alias("stream"))
+    return routing.check_capability(fixed.unionAll(asked), routing.capabilities(spark)).groupBy("provider", "route", "stream", "supported").agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of one model span for each label, and one unknown label."""
+    """Violations of one model span for each turn with a text; one label in so many is unknown."""
     labels = [*contextual.LABELS, "unheard_of"]
-    spans = spark.createDataFrame([(i, [(n, "x", i, i + 1, 0.5)]) for i, n in enumerate(labels)], f"id int, s array<{contextual.MODEL_SPAN}>")
+    turns = _turns(spark, sf_dir).where("text <> ''")
+    one = F.struct(_picked(labels, F.col("conv_id") + F.col("turn")).alias("label"), F.substring("text", 1, 1).alias("text"), F.lit(0).alias("start"), F.octet_length(F.substring("text", 1, 1)).alias("end"), F.lit(0.5).alias("score"))
+    spans = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.array(one).cast(f"array<{contextual.MODEL_SPAN}>").alias("s"))
     return spans.select("id", F.explode(contextual.model_violations(F.col("s"))).alias("x")).select("id", "x.*")
 
 
@@ -196,7 +222,7 @@ def quality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewrite.sanitize(spark.createDataFrame(TEXTS, "id long, t string"), "t")
+    out = rewrite.sanitize(_documents(spark, sf_dir), "t")
     v = F.col("violations")
     return out.select("id", report.diff_text(F.col("t"), F.col("sanitized_text"), F.size(report.changes(v))).alias("diff"), report.violation_list(v).alias("list"), report.summary_text(F.col("t"), F.col("sanitized_text"), v, F.lit(0.0)).alias("summary"))
 
@@ -286,9 +312,10 @@ def oracle_sql() -> dict[str, str]:
     found |= {f"violations_by_{c}": f"{every} SELECT {c}, count(*)::BIGINT AS n FROM kept GROUP BY {c}" for c in ("pattern", "type", "severity")}
     found |= {f"violations_by_{c}": by_doc(c) for c in ("lang", "source")}
     label = red.split("new FROM kept")[0].rsplit("prev, ", 1)[1].rsplit(" AS", 1)[0]
-    items = sql_values(ITEMS)
+    pick = lambda values, n: f"[{', '.join(repr(v) for v in values)}][({n}) % {len(values)} + 1]"
+    items = f"""(SELECT * FROM {sql_values(ITEMS)} UNION ALL SELECT 1000 + conv_id * 100 + turn, conv_id::VARCHAR, CASE WHEN turn <> 6 THEN text END, CASE turn WHEN 2 THEN 'bad' WHEN 3 THEN 'vlt_{'a' * 36}' END, {pick(["redact", "", "tokenize", "mask"], "conv_id + turn")}, turn = 1 FROM conversations)"""
     providers = sql_values(list(routing.CAPABILITIES))
-    models = sql_values([(m,) for m in MODELS])
+    models = f"(SELECT * FROM {sql_values([(m,) for m in MODELS])} UNION ALL SELECT {pick(MODELS, 'conv_id')} || CASE WHEN turn % 2 = 1 THEN '-' || turn ELSE '' END FROM conversations)"
     found |= {
         "overlap_resolved": f"{oracle.detection(everything=False)} SELECT {_SPAN} FROM kept",
         "raw_violations": f"{every} SELECT {_SPAN} FROM raw",
@@ -298,15 +325,19 @@ def oracle_sql() -> dict[str, str]:
         "safe_flag": f"{red} SELECT n_violations = 0 AS safe, count(*)::BIGINT AS n FROM red GROUP BY 1",
         "redaction_labels": f"{every} SELECT {label} AS label, count(*)::BIGINT AS n FROM kept WHERE severity IN ('BLOCK', 'WARN') GROUP BY 1",
         "type_summary": f"{every} SELECT id, string_agg(type || ':' || n, ',' ORDER BY type || ':' || n) AS summary FROM (SELECT id, type, count(*) AS n FROM kept GROUP BY ALL) GROUP BY id",
-        "entropy_values": f"SELECT id, round(-list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) / length(t) * log2((length(t) - length(replace(t, c, ''))) / length(t)))) * 1000)::BIGINT AS millibits FROM {sql_values(TEXTS)} AS v(id, t) WHERE t <> ''",
+        "entropy_values": f"SELECT id, round(-list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) / length(t) * log2((length(t) - length(replace(t, c, ''))) / length(t)))) * 1000)::BIGINT AS millibits FROM ({oracle.texts()}) WHERE t <> ''",
         "vault_tokens": f"{_vault_ctes()} SELECT session_id, matched, pattern, gen_key, seq FROM numbers",
         "numeric_tokens": f"{_vault_ctes()} SELECT session_id, matched, lpad(seq::VARCHAR, strlen(matched)::INT, '0') AS token FROM numbers WHERE gen_key = 'numeric'",
-        "batch_validation": f"SELECT i AS item_index, CASE WHEN coalesce(p, '') = '' THEN 'missing_prompt' WHEN strlen(p) > 65536 THEN 'prompt_too_large' WHEN coalesce(s, '') <> '' AND NOT regexp_full_match(s, 'vlt_[0-9a-fA-F-]{{36}}') THEN 'invalid_session_id' WHEN coalesce(m, '') <> '' AND m NOT IN ('redact', 'tokenize') THEN 'invalid_sanitization_mode' END AS error_code FROM {items} AS v(i, id, p, s, m, slm)",
+        "batch_validation": f"SELECT i::INT AS item_index, CASE WHEN coalesce(p, '') = '' THEN 'missing_prompt' WHEN strlen(p) > 65536 THEN 'prompt_too_large' WHEN coalesce(s, '') <> '' AND NOT regexp_full_match(s, 'vlt_[0-9a-fA-F-]{{36}}') THEN 'invalid_session_id' WHEN coalesce(m, '') <> '' AND m NOT IN ('redact', 'tokenize') THEN 'invalid_sanitization_mode' END AS error_code FROM {items} AS v(i, id, p, s, m, slm)",
         "batch_summary": "SELECT 7::BIGINT AS total, 3::BIGINT AS succeeded, 4::BIGINT AS failed, 2::BIGINT AS violations, 2::BIGINT AS redacted, 0::BIGINT AS tokenized",
         "mode_counts": f"SELECT count(*) FILTER (WHERE m = 'redact') AS redact, count(*) FILTER (WHERE m = 'tokenize') AS tokenize, count(*) FILTER (WHERE slm) AS slm FROM {items} AS v(i, id, p, s, m, slm)",
-        "route_models": f"SELECT model, CASE WHEN trim(model) = '' THEN NULL ELSE coalesce((SELECT p FROM {sql_values(list(EXACT.items()))} AS e(n, p) WHERE n = model), (SELECT arg_max(p, length(n)) FROM {sql_values(list(routing.PREFIXES))} AS x(n, p) WHERE starts_with(model, n)), 'openai') END AS provider FROM {models} AS m(model)",
-        "capability_check": f"SELECT p AS provider, route, stream, CASE WHEN route = 'chat' THEN CASE WHEN stream THEN cs ELSE c END ELSE CASE WHEN stream THEN rs ELSE r END END AS supported FROM {providers} AS v(p, c, cs, r, rs), (VALUES ('chat'), ('responses')) AS a(route), (VALUES (false), (true)) AS b(stream)",
-        "label_mapping": f"SELECT i::INT AS id, type, severity, pattern, 'x' AS matched, i::INT AS position, (i + 1)::INT AS \"end\" FROM {sql_values([(i, n, *contextual.LABELS[n]) for i, n in enumerate(contextual.LABELS)])} AS v(i, n, type, severity, pattern)",
+        "route_models": f"SELECT model, provider, count(*) AS n FROM (SELECT model, CASE WHEN trim(model) = '' THEN NULL ELSE coalesce((SELECT p FROM {sql_values(list(EXACT.items()))} AS e(n, p) WHERE n = model), (SELECT arg_max(p, length(n)) FROM {sql_values(list(routing.PREFIXES))} AS x(n, p) WHERE starts_with(model, n)), 'openai') END AS provider FROM {models} AS m(model)) GROUP BY ALL",
+        "capability_check": f"""WITH q AS (
+SELECT p AS provider, route, stream FROM {providers} AS v(p, c, cs, r, rs), (VALUES ('chat'), ('responses')) AS a(route), (VALUES (false), (true)) AS b(stream)
+UNION ALL SELECT {pick([*payload.PROVIDERS, "other"], "conv_id")}, {pick(["chat", "responses", "odd"], "turn")}, (conv_id + turn) % 2 = 0 FROM conversations)
+SELECT provider, route, stream, coalesce(CASE route WHEN 'chat' THEN CASE WHEN stream THEN cs ELSE c END WHEN 'responses' THEN CASE WHEN stream THEN rs ELSE r END END, false) AS supported, count(*) AS n FROM q LEFT JOIN {providers} AS v(p, c, cs, r, rs) ON p = provider GROUP BY ALL""",
+        "label_mapping": f"""SELECT conv_id * 100 + turn AS id, type, severity, pattern, text[1] AS matched, 0::INT AS position, strlen(text[1])::INT AS "end"
+FROM conversations JOIN {sql_values([(n, *contextual.LABELS[n]) for n in contextual.LABELS])} AS v(n, type, severity, pattern) ON n = {pick([*contextual.LABELS, "unheard_of"], "conv_id + turn")} WHERE text <> ''""",
         "pages_pii": oracle.detection().replace(oracle.texts(), "SELECT page_id AS id, coalesce(html, '') AS t FROM pages", 1) + " SELECT page_id, coalesce(sum(n), 0)::INT AS n_violations, coalesce(string_agg(type || ':' || n, ',' ORDER BY type || ':' || n), '') AS summary FROM pages LEFT JOIN (SELECT id, type, count(*) AS n FROM kept GROUP BY ALL) ON page_id = id GROUP BY page_id",
         "quality_join": f"{every}, n AS (SELECT id, count(*) AS n FROM kept GROUP BY id) SELECT quality, toxic, count(*)::BIGINT AS n_documents, coalesce(sum(n), 0)::BIGINT AS n_violations FROM labels JOIN documents USING (doc_id) LEFT JOIN n ON id = doc_id GROUP BY ALL",
         "default_patterns": f"SELECT i::INT AS load_order, name, type, severity FROM {sql_values([(i, p.name, p.type, p.severity) for i, p in enumerate(load())])} AS v(i, name, type, severity)",
