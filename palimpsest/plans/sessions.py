@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import contextual, lifecycle, requests, saves, vault
+from palimpsest.operators import contextual, lifecycle, requests, saves, sealed, vault
 from palimpsest.operators.spans import placed_matches
 
 #: Conversations have no times: one begins every START_S seconds, and its turns follow at growing distances, the fifth after more
@@ -123,6 +123,28 @@ def vault_saved_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saves.folded(tokens, saves.judged(saved, versions))
 
 
+def sealed_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vaults of the words of each first turn, sealed under several keys, some of them damaged: how each opens by a current key and
+    an older one, and, with data keys wrapped anew, by the current key alone."""
+    tokens, _, _ = _saves(spark, sf_dir)
+    kind = F.col("session_id").cast("long") % 6
+    rows = tokens.select("session_id", F.col("seq").alias("ord"), "matched", F.concat(F.lit("T"), F.col("seq").cast("string")).alias("token"), "gen_key", "seq")
+    old, key, lost = (bytes([i]) * 32 for i in (1, 2, 3))
+    both = sealed.StaticKeys("k2", key, {"k1": old})
+    stored = (
+        sealed.seal(rows.where(kind.isin(0, 4, 5)), sealed.StaticKeys("k1", old)).unionByName(sealed.seal(rows.where(kind == 1), both))
+        .unionByName(sealed.seal(rows.where(kind == 2), sealed.StaticKeys("k0", lost))).unionByName(sealed.seal(rows.where(kind == 3), sealed.StaticKeys("k1", lost)))
+    )
+    damaged = stored.withColumns({
+        "ciphertext": F.when(kind == 4, F.expr("concat(ciphertext, X'00')")).otherwise(F.col("ciphertext")), "schema_version": F.when(kind == 5, 9).otherwise(F.col("schema_version")),
+    })
+    values = F.from_json("state", "array<struct<matched:string,token:string>>")
+    opened = lambda df, keys: sealed.unseal(df, keys).select("session_id", "status", F.size(values).alias("n"), F.element_at(values, -1)["matched"].alias("last"))
+    now = opened(damaged, both).select("session_id", F.lit("both").alias("keys"), "status", F.when(F.col("status") == "ok", F.col("n")).alias("n_values"), "last")
+    later = opened(sealed.rewrapped(damaged, both), sealed.StaticKeys("k2", key)).select("session_id", F.lit("current").alias("keys"), "status", F.when(F.col("status") == "ok", F.col("n")).alias("n_values"), "last")
+    return now.unionByName(later)
+
+
 LIMITS = requests.Limits(max_items=6, max_prompt_bytes=700)
 
 
@@ -145,7 +167,7 @@ def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (vault_saves, vault_saved_numbers, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+    return {f.__name__: f for f in (vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
 
 
 _TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
@@ -190,6 +212,11 @@ a AS (SELECT s, 1::BIGINT AS version, NULL::BIGINT AS added, w FROM t WHERE o =
 u AS (SELECT s, version, added, unnest(w) AS matched, generate_subscripts(w, 1) AS i FROM a),
 f AS (SELECT s, matched, min((version, i)) AS ord, nullif(min(version), 1) AS added FROM u GROUP BY s, matched)
 SELECT s AS session_id, matched, 'default' AS gen_key, row_number() OVER (PARTITION BY s ORDER BY ord) AS seq, added AS payload_version FROM f""",
+        "sealed_vaults": r"""WITH t AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6)) AS w, generate_subscripts(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6), 1) AS i FROM conversations WHERE turn = 0),
+f AS (SELECT conv_id, w, min(i) AS i FROM t GROUP BY ALL),
+v AS (SELECT conv_id, conv_id % 6 AS k, count(*)::INT AS n, arg_max(w, i) AS last FROM f GROUP BY conv_id),
+s AS (SELECT *, unnest(['both', 'current']) AS keys FROM v)
+SELECT conv_id::VARCHAR AS session_id, keys, CASE WHEN k < 2 THEN 'ok' WHEN k >= 4 THEN 'corrupt' WHEN k = 3 AND keys = 'both' THEN 'wrong_key' ELSE 'unknown_key' END AS status, CASE WHEN k < 2 THEN n END AS n_values, CASE WHEN k < 2 THEN last END AS last FROM s""",
         "request_envelopes": f"WITH {sent} SELECT conv_id, CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status, reason, CASE WHEN reason IS NULL THEN n ELSE 0 END::INT AS n_items FROM f",
         "request_items": f"WITH {sent} SELECT *, CASE WHEN prompt = '' THEN 'missing_prompt' WHEN strlen(prompt) > {LIMITS.max_prompt_bytes} THEN 'prompt_too_large' WHEN session_id = 'vlt_no' THEN 'invalid_session_id' WHEN sanitization_mode = 'other' THEN 'invalid_sanitization_mode' END AS error_code FROM i",
         "request_summary": f"WITH {sent} SELECT conv_id, count(*) FILTER (WHERE sanitization_mode = 'redact') AS redact, count(*) FILTER (WHERE sanitization_mode = 'tokenize') AS tokenize, count(*) FILTER (WHERE slm) AS slm FROM i GROUP BY conv_id",
