@@ -1,7 +1,8 @@
-"""Chat and response payloads (JSON strings): their texts as rows, and payloads with new texts; translations for providers.
+"""Chat and response payloads (JSON strings): their texts as rows, and payloads with new texts.
 
 A payload's texts become rows (payload key, path, text), go through the column operators like any other text, and come back as
-one map for each payload.
+one map for each payload. Texts at fixed places are read by expressions over VARIANT; only the descriptions of tools, at any
+depth, and the rewriting, which keeps the order of fields and the form of numbers, are in Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,16 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROVIDERS = ("anthropic", "gemini", "deepseek", "openai")
-_SAMPLING = {"model", "stream", "temperature", "top_p", "tools", "tool_choice"}
-#: Top-level fields that a provider's translation knows.
-CHAT_FIELDS = {"anthropic": _SAMPLING | {"messages", "max_tokens", "response_format", "logit_bias"}}
-CHAT_FIELDS["gemini"] = CHAT_FIELDS["anthropic"] | {"stop"}
-RESPONSE_FIELDS = _SAMPLING | {"input", "max_output_tokens", "parallel_tool_calls", "previous_response_id", "instructions", "store", "metadata", "user"}
+from .variants import at, items, let, string_at
 
-
-class Unsupported(ValueError):
-    """A payload that a provider's translation refuses."""
+TEXT = "array<struct<path:string,text:string>>"
 
 
 def _descriptions(node: Any, path: str) -> Iterator[tuple[str, str]]:
@@ -38,30 +32,6 @@ def _descriptions(node: Any, path: str) -> Iterator[tuple[str, str]]:
             yield from _descriptions(v, f"{path}/{i}")
 
 
-def _texts(payload: dict, kind: str) -> Iterator[tuple[str, str]]:
-    """(path, text) in the order in which a proxy reads them."""
-    if kind == "chat":
-        for i, m in enumerate(payload.get("messages") or []):
-            if isinstance(m.get("content"), str):
-                yield f"/messages/{i}/content", m["content"]
-            if isinstance((m.get("function_call") or {}).get("arguments"), str):
-                yield f"/messages/{i}/function_call/arguments", m["function_call"]["arguments"]
-            for j, call in enumerate(m.get("tool_calls") or []):
-                if isinstance((call.get("function") or {}).get("arguments"), str):
-                    yield f"/messages/{i}/tool_calls/{j}/function/arguments", call["function"]["arguments"]
-    else:
-        given = payload.get("input")
-        if isinstance(given, str):
-            yield "/input", given
-        for i, m in enumerate(given if isinstance(given, list) else []):
-            for j, block in enumerate(m.get("content") if isinstance(m.get("content"), list) else []):
-                if block.get("type") == "input_text" and isinstance(block.get("text"), str):
-                    yield f"/input/{i}/content/{j}/text", block["text"]
-        if isinstance(payload.get("instructions"), str):
-            yield "/instructions", payload["instructions"]
-    yield from _descriptions(payload.get("tools"), "/tools")
-
-
 def _read(body: str | None) -> dict:
     try:
         found = json.loads(body or "")
@@ -70,14 +40,40 @@ def _read(body: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+def _tool_texts(tools: Column) -> Column:
+    @F.pandas_udf(TEXT)
+    def tool_texts(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: [{"path": p, "text": x} for p, x in _descriptions(json.loads(t), "/tools")] if t else [])
+
+    return tool_texts(tools)
+
+
+def _one(path: Column, node: Column, way: str) -> Column:
+    """An array of the string at a way below a node, or none."""
+    return F.filter(F.array(F.struct(path.alias("path"), string_at(node, way).alias("text"))), lambda x: x["text"].isNotNull()).cast(TEXT)
+
+
+def _message_texts(m: Column, i: Column) -> Column:
+    here = F.concat(F.lit("/messages/"), i.cast("string"))
+    calls = F.transform(items(m, "$.tool_calls"), lambda c, j: _one(F.concat(here, F.lit("/tool_calls/"), j.cast("string"), F.lit("/function/arguments")), c, "$.function.arguments"))
+    return F.concat(_one(F.concat(here, F.lit("/content")), m, "$.content"), _one(F.concat(here, F.lit("/function_call/arguments")), m, "$.function_call.arguments"), F.flatten(calls))
+
+
+def _input_texts(m: Column, i: Column) -> Column:
+    here = F.concat(F.lit("/input/"), i.cast("string"), F.lit("/content/"))
+    return F.flatten(F.transform(items(m, "$.content"), lambda b, j: F.filter(_one(F.concat(here, j.cast("string"), F.lit("/text")), b, "$.text"), lambda _: F.coalesce(string_at(b, "$.type") == "input_text", F.lit(False)))))
+
+
 def texts_of(body: Column, kind: str) -> Column:
-    """array<struct<path, text>> of a payload; empty for what is no JSON object."""
+    """array<struct<path, text>> of a payload, in the order in which a proxy reads them; empty for what is no JSON object."""
 
-    @F.pandas_udf("array<struct<path:string,text:string>>")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: [{"path": p, "text": t} for p, t in _texts(_read(b), kind)])
+    def read(v: Column) -> Column:
+        if kind == "chat":
+            return F.flatten(F.transform(items(v, "$.messages"), _message_texts))
+        return F.concat(_one(F.lit("/input"), v, "$.input"), F.flatten(F.transform(items(v, "$.input"), _input_texts)), _one(F.lit("/instructions"), v, "$.instructions"))
 
-    return run(body)
+    parsed = F.try_parse_json(body)
+    return F.concat(F.coalesce(let(parsed, read), F.array().cast(TEXT)), _tool_texts(F.to_json(at(parsed, "$.tools"))))
 
 
 def with_texts(body: Column, new: Column) -> Column:
@@ -109,111 +105,3 @@ def rewrite_payloads(df: DataFrame, key: str, body: str, kind: str, rewrite: Cal
     new = rewrite(rows).groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("path", "sanitized_text"))).alias("_new"))
     met = df.join(new, F.col(key) == F.col("_key"), "left")
     return met.withColumn("sanitized_body", with_texts(F.col(body), F.col("_new"))).drop("_key", "_new")
-
-
-def _response_messages(given: Any) -> list[tuple[str, str]]:
-    """(role, text) of a response payload's input."""
-    if isinstance(given, str):
-        return [("user", given)]
-    if not isinstance(given, list) or not given or not all(isinstance(m, dict) for m in given):
-        raise Unsupported("responses_input")
-    out = []
-    for m in given:
-        blocks = m.get("content")
-        role = m.get("role", "user")
-        if set(m) - {"role", "content"} or not isinstance(role, str) or not isinstance(blocks, list) or not blocks:
-            raise Unsupported("responses_input")
-        if role not in ("system", "user", "assistant"):
-            raise Unsupported("responses_roles")
-        for b in blocks:
-            if not isinstance(b, dict) or set(b) - {"type", "text"} or not isinstance(b.get("text", ""), str):
-                raise Unsupported("responses_input")
-            if b.get("type") != "input_text":
-                raise Unsupported("responses_multimodal")
-            if "text" not in b:
-                raise Unsupported("responses_input")
-        out.append((role, "\n".join(b["text"] for b in blocks)))
-    return out
-
-
-def _messages(payload: dict, kind: str, provider: str) -> list[tuple[str, str]]:
-    chat = kind == "chat"
-    if set(payload) - (CHAT_FIELDS.get(provider, set()) if chat else RESPONSE_FIELDS):
-        raise Unsupported("field")
-    refused = ("tools", "tool_choice", "response_format", "logit_bias", "stop") if chat else ("tools", "tool_choice", "parallel_tool_calls", "store", "metadata")
-    if any(payload.get(f) is not None for f in refused) or any(payload.get(f) for f in ("previous_response_id", "instructions", "user") if not chat):
-        raise Unsupported("field")
-    if not chat:
-        return _response_messages(payload.get("input"))
-    out = []
-    for m in payload.get("messages") or []:
-        if set(m) - {"role", "content"}:
-            raise Unsupported("message field")
-        if m.get("role") not in ("system", "user", "assistant"):
-            raise Unsupported("roles")
-        out.append((m["role"], m.get("content") or ""))
-    return out
-
-
-def _given(payload: dict, names: dict[str, str]) -> dict:
-    return {new: payload[old] for old, new in names.items() if payload.get(old) is not None}
-
-
-def translate(payload: dict, kind: str, provider: str) -> dict:
-    """The provider's request for a chat or responses payload; OpenAI's is the payload itself, as is DeepSeek's for chats."""
-    if provider == "openai" or (provider == "deepseek" and kind == "chat"):
-        return payload
-    if provider == "deepseek" and payload.get("stream"):
-        raise Unsupported("responses_streaming")
-    messages = _messages(payload, kind, provider)
-    limit = "max_tokens" if kind == "chat" else "max_output_tokens"
-    system = [t for r, t in messages if r == "system" and t]
-    if provider == "anthropic":
-        out = {"model": payload.get("model", ""), "messages": [{"role": r, "content": [{"type": "text", "text": t}]} for r, t in messages if r != "system"], "max_tokens": 1024}
-        if system:
-            out["system"] = "\n".join(system)
-        return out | _given(payload, {limit: "max_tokens", "temperature": "temperature", "top_p": "top_p"})
-    if provider == "gemini":
-        out = {"contents": [{"role": "model" if r == "assistant" else "user", "parts": [{"text": t}]} for r, t in messages if r != "system"]}
-        if system:
-            out["systemInstruction"] = {"parts": [{"text": t} for t in system]}
-        settings = _given(payload, {limit: "maxOutputTokens", "temperature": "temperature", "top_p": "topP"})
-        return out | ({"generationConfig": settings} if settings else {})
-    out = {"model": payload.get("model", ""), "messages": [{"role": r, "content": t} for r, t in messages]}
-    return out | _given(payload, {limit: "max_tokens", "temperature": "temperature", "top_p": "top_p"})
-
-
-def provider_request(body: Column, provider: Column, kind: str) -> Column:
-    """struct<request, error> for each payload and its provider."""
-
-    @F.pandas_udf("request string, error string")
-    def run(bodies: pd.Series, providers: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b, p in zip(bodies, providers):
-            try:
-                rows.append((json.dumps(translate(_read(b), kind, p), ensure_ascii=False, separators=(",", ":"), sort_keys=True), None))
-            except Unsupported as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["request", "error"])
-
-    return run(body, provider)
-
-
-def answer_text(body: Column, provider: Column) -> Column:
-    """The text of a provider's answer: its text parts joined by line ends; null if there is none."""
-    blocks = F.from_json(body, "content array<struct<type:string,text:string>>, candidates array<struct<content:struct<parts:array<struct<text:string>>>>>, choices array<struct<message:struct<content:string>>>")
-    joined = lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
-    anthropic = joined(F.transform(F.filter(blocks["content"], lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"]))
-    gemini = joined(F.filter(F.flatten(F.transform(blocks["candidates"], lambda c: F.transform(c["content"]["parts"], lambda p: p["text"]))), lambda t: t != ""))
-    return F.when(provider == "anthropic", anthropic).when(provider == "gemini", gemini).otherwise(F.get(blocks["choices"], 0)["message"]["content"])
-
-
-def normal_answer(text: Column, model: Column, kind: str, ident: Column, created: Column) -> Column:
-    """An answer in the chat or responses shape as JSON; null where there is no text."""
-    if kind == "chat":
-        message = F.struct(F.lit("assistant").alias("role"), text.alias("content"))
-        out = F.struct(ident.alias("id"), F.lit("chat.completion").alias("object"), created.alias("created"), model.alias("model"), F.array(F.struct(F.lit(0).alias("index"), message.alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"))
-    else:
-        block = F.struct(F.lit("output_text").alias("type"), text.alias("text"))
-        out = F.struct(ident.alias("id"), F.lit("response").alias("object"), created.alias("created"), model.alias("model"), F.array(F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(block).alias("content"))).alias("output"), text.alias("output_text"), F.lit("completed").alias("status"))
-    return F.when(text.isNotNull(), F.to_json(out))

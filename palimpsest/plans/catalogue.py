@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.checks import entropy
-from palimpsest.operators import advanced, contextual, overlap, payload, report, requests, rewrite, routing, secrets, vault
+from palimpsest.operators import advanced, contextual, overlap, payload, providers, report, requests, rewrite, routing, secrets, vault
 from palimpsest.operators.detect import detect, one_by_one, raw_spans
 from palimpsest.operators.overlap import resolved
 from palimpsest.operators.spans import pattern_spans, pattern_sql
 from palimpsest.sources.patterns import load, patterns_frame
 
-from . import oracle, sessions
+from . import oracle, payloads, sessions
 from .fixtures import BROKEN_URIS, EXACT, ITEMS, MODELS, TEXTS, sql_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,8 +196,8 @@ def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capability_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider, route and stream flag for each turn: what is supported, and how often it is asked for."""
-    fixed = spark.createDataFrame([(p, r, s) for p in payload.PROVIDERS for r in ("chat", "responses") for s in (False, True)], "provider string, route string, stream boolean")
-    asked = _turns(spark, sf_dir).select(_picked([*payload.PROVIDERS, "other"], F.col("conv_id")).alias("provider"), _picked(["chat", "responses", "odd"], F.col("turn")).alias("route"), ((F.col("conv_id") + F.col("turn")) % 2 == 0).alias("stream"))
+    fixed = spark.createDataFrame([(p, r, s) for p in providers.PROVIDERS for r in ("chat", "responses") for s in (False, True)], "provider string, route string, stream boolean")
+    asked = _turns(spark, sf_dir).select(_picked([*providers.PROVIDERS, "other"], F.col("conv_id")).alias("provider"), _picked(["chat", "responses", "odd"], F.col("turn")).alias("route"), ((F.col("conv_id") + F.col("turn")) % 2 == 0).alias("stream"))
     return routing.check_capability(fixed.unionAll(asked), routing.capabilities(spark)).groupBy("provider", "route", "stream", "supported").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -274,7 +274,7 @@ def queries() -> dict[str, Query]:
         capability_check, label_mapping, pages_pii, quality_join, diff_reports, redacted_payloads, default_patterns, metrics, redacted_urls,
     ):
         found[f.__name__] = f
-    return found | sessions.queries()
+    return found | sessions.queries() | payloads.queries()
 
 
 _SPAN = 'id, type, severity, pattern, matched, position, "end"'
@@ -314,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
     label = red.split("new FROM kept")[0].rsplit("prev, ", 1)[1].rsplit(" AS", 1)[0]
     pick = lambda values, n: f"[{', '.join(repr(v) for v in values)}][({n}) % {len(values)} + 1]"
     items = f"""(SELECT * FROM {sql_values(ITEMS)} UNION ALL SELECT 1000 + conv_id * 100 + turn, conv_id::VARCHAR, CASE WHEN turn <> 6 THEN text END, CASE turn WHEN 2 THEN 'bad' WHEN 3 THEN 'vlt_{'a' * 36}' END, {pick(["redact", "", "tokenize", "mask"], "conv_id + turn")}, turn = 1 FROM conversations)"""
-    providers = sql_values(list(routing.CAPABILITIES))
+    capable = sql_values(list(routing.CAPABILITIES))
     models = f"(SELECT * FROM {sql_values([(m,) for m in MODELS])} UNION ALL SELECT {pick(MODELS, 'conv_id')} || CASE WHEN turn % 2 = 1 THEN '-' || turn ELSE '' END FROM conversations)"
     found |= {
         "overlap_resolved": f"{oracle.detection(everything=False)} SELECT {_SPAN} FROM kept",
@@ -333,15 +333,17 @@ def oracle_sql() -> dict[str, str]:
         "mode_counts": f"SELECT count(*) FILTER (WHERE m = 'redact') AS redact, count(*) FILTER (WHERE m = 'tokenize') AS tokenize, count(*) FILTER (WHERE slm) AS slm FROM {items} AS v(i, id, p, s, m, slm)",
         "route_models": f"SELECT model, provider, count(*) AS n FROM (SELECT model, CASE WHEN trim(model) = '' THEN NULL ELSE coalesce((SELECT p FROM {sql_values(list(EXACT.items()))} AS e(n, p) WHERE n = model), (SELECT arg_max(p, length(n)) FROM {sql_values(list(routing.PREFIXES))} AS x(n, p) WHERE starts_with(model, n)), 'openai') END AS provider FROM {models} AS m(model)) GROUP BY ALL",
         "capability_check": f"""WITH q AS (
-SELECT p AS provider, route, stream FROM {providers} AS v(p, c, cs, r, rs), (VALUES ('chat'), ('responses')) AS a(route), (VALUES (false), (true)) AS b(stream)
-UNION ALL SELECT {pick([*payload.PROVIDERS, "other"], "conv_id")}, {pick(["chat", "responses", "odd"], "turn")}, (conv_id + turn) % 2 = 0 FROM conversations)
-SELECT provider, route, stream, coalesce(CASE route WHEN 'chat' THEN CASE WHEN stream THEN cs ELSE c END WHEN 'responses' THEN CASE WHEN stream THEN rs ELSE r END END, false) AS supported, count(*) AS n FROM q LEFT JOIN {providers} AS v(p, c, cs, r, rs) ON p = provider GROUP BY ALL""",
+SELECT p AS provider, route, stream FROM {capable} AS v(p, c, cs, r, rs), (VALUES ('chat'), ('responses')) AS a(route), (VALUES (false), (true)) AS b(stream)
+UNION ALL SELECT {pick([*providers.PROVIDERS, "other"], "conv_id")}, {pick(["chat", "responses", "odd"], "turn")}, (conv_id + turn) % 2 = 0 FROM conversations)
+SELECT provider, route, stream, coalesce(CASE route WHEN 'chat' THEN CASE WHEN stream THEN cs ELSE c END WHEN 'responses' THEN CASE WHEN stream THEN rs ELSE r END END, false) AS supported, count(*) AS n FROM q LEFT JOIN {capable} AS v(p, c, cs, r, rs) ON p = provider GROUP BY ALL""",
         "label_mapping": f"""SELECT conv_id * 100 + turn AS id, type, severity, pattern, text[1] AS matched, 0::INT AS position, strlen(text[1])::INT AS "end"
 FROM conversations JOIN {sql_values([(n, *contextual.LABELS[n]) for n in contextual.LABELS])} AS v(n, type, severity, pattern) ON n = {pick([*contextual.LABELS, "unheard_of"], "conv_id + turn")} WHERE text <> ''""",
         "pages_pii": oracle.detection().replace(oracle.texts(), "SELECT page_id AS id, coalesce(html, '') AS t FROM pages", 1) + " SELECT page_id, coalesce(sum(n), 0)::INT AS n_violations, coalesce(string_agg(type || ':' || n, ',' ORDER BY type || ':' || n), '') AS summary FROM pages LEFT JOIN (SELECT id, type, count(*) AS n FROM kept GROUP BY ALL) ON page_id = id GROUP BY page_id",
         "quality_join": f"{every}, n AS (SELECT id, count(*) AS n FROM kept GROUP BY id) SELECT quality, toxic, count(*)::BIGINT AS n_documents, coalesce(sum(n), 0)::BIGINT AS n_violations FROM labels JOIN documents USING (doc_id) LEFT JOIN n ON id = doc_id GROUP BY ALL",
+        "redacted_payloads": oracle.redaction().replace(oracle.texts(), "SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS t FROM conversations", 1) + """
+SELECT conv_id, '{"model":"gpt-4o","messages":[' || string_agg('{"role":"' || role || '"' || CASE WHEN text IS NULL THEN '' ELSE ',"content":' || to_json(sanitized_text)::VARCHAR END || '}', ',' ORDER BY turn) || ']}' AS sanitized_body FROM conversations JOIN red ON red.id = conv_id * 1000 + turn GROUP BY conv_id""",
         "default_patterns": f"SELECT i::INT AS load_order, name, type, severity FROM {sql_values([(i, p.name, p.type, p.severity) for i, p in enumerate(load())])} AS v(i, name, type, severity)",
         "metrics": f"{red} SELECT '# TYPE sanitizer_requests_total counter' || chr(10) || 'sanitizer_requests_total ' || count(*) || chr(10) || '# TYPE sanitizer_violations_total counter' || chr(10) || 'sanitizer_violations_total ' || sum(n_violations) || chr(10) || '# TYPE sanitizer_redacted_total counter' || chr(10) || 'sanitizer_redacted_total ' || sum(redacted_count) || chr(10) || '# TYPE sanitizer_safe_total counter' || chr(10) || 'sanitizer_safe_total ' || count(*) FILTER (WHERE n_violations = 0) || chr(10) AS text FROM red",
         "redacted_urls": "SELECT page_id, array_to_string(list_sort(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), '&') AS query FROM pages WHERE contains(url, '?')",
     }
-    return found | sessions.oracle_sql()
+    return found | sessions.oracle_sql() | payloads.oracle_sql()

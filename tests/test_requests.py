@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import contextual, payload, requests, rewrite, routing, vault
+from palimpsest.operators import contextual, payload, providers, requests, rewrite, routing, vault
 from palimpsest.plans.fixtures import ITEMS
+import plain_translation as plain
 
 
 def test_items(spark):
@@ -55,14 +56,14 @@ def test_payload_texts(spark, kind, body, left):
 
 def test_translations():
     chat = {"model": "c", "messages": [{"role": "system", "content": "s1"}, {"role": "system", "content": "s2"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}], "top_p": 0.5}
-    a = payload.translate(chat, "chat", "anthropic")
+    a = plain.translate(chat, "chat", "anthropic")
     assert a == {"model": "c", "system": "s1\ns2", "max_tokens": 1024, "top_p": 0.5, "messages": [{"role": "user", "content": [{"type": "text", "text": "u"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}
-    g = payload.translate(chat | {"max_tokens": 5}, "chat", "gemini")
+    g = plain.translate(chat | {"max_tokens": 5}, "chat", "gemini")
     assert [c["role"] for c in g["contents"]] == ["user", "model"] and g["generationConfig"] == {"maxOutputTokens": 5, "topP": 0.5} and len(g["systemInstruction"]["parts"]) == 2
-    assert "generationConfig" not in payload.translate({"messages": []}, "chat", "gemini")
-    d = payload.translate({"model": "d", "input": "hi", "max_output_tokens": 3}, "responses", "deepseek")
+    assert "generationConfig" not in plain.translate({"messages": []}, "chat", "gemini")
+    d = plain.translate({"model": "d", "input": "hi", "max_output_tokens": 3}, "responses", "deepseek")
     assert d == {"model": "d", "messages": [{"role": "user", "content": "hi"}], "max_tokens": 3}
-    assert payload.translate({"any": 1}, "chat", "openai") == {"any": 1}
+    assert plain.translate({"any": 1}, "chat", "openai") == {"any": 1}
 
 
 @pytest.mark.parametrize(
@@ -70,8 +71,8 @@ def test_translations():
     [({"messages": [], "seed": 1}, "chat", "anthropic"), ({"messages": [], "stop": "x"}, "chat", "gemini"), ({"messages": [{"role": "tool", "content": ""}]}, "chat", "gemini"), ({"messages": [{"role": "user", "name": "x"}]}, "chat", "anthropic"), ({"input": []}, "responses", "anthropic"), ({"input": [{"content": [{"type": "image"}]}]}, "responses", "gemini"), ({"input": "x", "stream": True}, "responses", "deepseek"), ({"input": "x", "instructions": "y"}, "responses", "gemini")],
 )
 def test_refused(body, kind, provider):
-    with pytest.raises(payload.Unsupported):
-        payload.translate(body, kind, provider)
+    with pytest.raises(plain.Unsupported):
+        plain.translate(body, kind, provider)
 
 
 def test_answers(spark):
@@ -79,13 +80,13 @@ def test_answers(spark):
         ("anthropic", '{"content":[{"type":"text","text":"a"},{"type":"tool"},{"type":"text","text":"b"}]}', "a\nb"), ("anthropic", '{"content":[]}', None),
         ("gemini", '{"candidates":[{"content":{"parts":[{"text":"x"},{"text":""}]}},{"content":{"parts":[{"text":"y"}]}}]}', "x\ny"), ("deepseek", '{"choices":[{"message":{"content":"z"}}]}', "z"), ("gemini", "{", None),
     ]
-    df = spark.createDataFrame(rows, "p string, b string, want string").withColumn("t", payload.answer_text(F.col("b"), F.col("p")))
-    df = df.withColumn("chat", payload.normal_answer(F.col("t"), F.lit("m"), "chat", F.lit("id"), F.lit(1))).withColumn("resp", payload.normal_answer(F.col("t"), F.lit("m"), "responses", F.lit("id"), F.lit(1)))
+    df = spark.createDataFrame(rows, "p string, b string, want string").withColumn("t", providers.answer_text(F.col("b"), F.col("p")))
+    df = df.withColumn("chat", providers.normal_answer(F.col("t"), F.lit("m"), "chat", F.lit("id"), F.lit(1))).withColumn("resp", providers.normal_answer(F.col("t"), F.lit("m"), "responses", F.lit("id"), F.lit(1)))
     for r in df.collect():
         assert r.t == r.want and (r.chat is None) == (r.want is None)
         if r.want:
             assert json.loads(r.chat)["choices"][0]["message"]["content"] == r.want and json.loads(r.resp)["output_text"] == r.want
-    asked = spark.createDataFrame([('{"messages":[{"role":"user","content":"u"}]}', "anthropic"), ('{"messages":[],"x":1}', "gemini")], "b string, p string").select(payload.provider_request(F.col("b"), F.col("p"), "chat").alias("r")).collect()
+    asked = spark.createDataFrame([('{"messages":[{"role":"user","content":"u"}]}', "anthropic"), ('{"messages":[],"x":1}', "gemini")], "b string, p string").select(providers.provider_request(F.col("b"), F.col("p"), "chat").alias("r")).collect()
     assert asked[0].r.error is None and asked[1].r.request is None
 
 
