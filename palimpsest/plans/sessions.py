@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import contextual, lifecycle, requests, saves, sealed, vault
+from palimpsest.operators import contextual, lifecycle, requests, rewrite, saves, sealed, vault
 from palimpsest.operators.spans import placed_matches
+from palimpsest.sources import settings
 
 #: Conversations have no times: one begins every START_S seconds, and its turns follow at growing distances, the fifth after more
 #: than the time to live.
@@ -166,8 +167,27 @@ def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("conv_id").agg(*requests.mode_aggregates())
 
 
+#: A deployment's file, of which most values are defaults.
+SETTINGS = """
+proxy:
+  behavior: {sanitization_mode: tokenize, max_prompt_bytes: 300}
+  anthropic: {enabled: true, base_url: "https://a.example"}
+  gemini: {enabled: true, base_url: "https://g.example"}
+  model_routing: {default_provider: anthropic, models: {special: google}, prefixes: {claude-: anthropic, gemini-: gemini, gemini-2: anthropic}}
+"""
+ASKED = ["claude-3", "gemini-1", "gemini-2.5", "special", "other", " "]
+
+
+def configured_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as items that ask for a model, under a deployment's settings: their provider, mode and first failed check."""
+    s = settings.parsed(SETTINGS, {})
+    asked = F.get(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int"))
+    items = _turns(spark, sf_dir).select("conv_id", "turn", asked.alias("model"), F.col("text").alias("prompt"), F.lit("").alias("session_id"), F.when(F.col("turn") == 2, "redact").when(F.col("turn") == 3, "mask").alias("sanitization_mode"))
+    return s.route(items).select("conv_id", "turn", "provider", rewrite.resolved_mode(F.col("sanitization_mode"), s.behaviour.sanitization_mode).alias("mode"), requests.item_error(s.limits()).alias("error_code"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+    return {f.__name__: f for f in (configured_turns, vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
 
 
 _TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
@@ -212,6 +232,8 @@ a AS (SELECT s, 1::BIGINT AS version, NULL::BIGINT AS added, w FROM t WHERE o =
 u AS (SELECT s, version, added, unnest(w) AS matched, generate_subscripts(w, 1) AS i FROM a),
 f AS (SELECT s, matched, min((version, i)) AS ord, nullif(min(version), 1) AS added FROM u GROUP BY s, matched)
 SELECT s AS session_id, matched, 'default' AS gen_key, row_number() OVER (PARTITION BY s ORDER BY ord) AS seq, added AS payload_version FROM f""",
+        "configured_turns": f"""SELECT conv_id, turn, CASE {ASKED!r}[(conv_id + turn) % {len(ASKED)} + 1] WHEN ' ' THEN NULL WHEN 'gemini-1' THEN 'gemini' WHEN 'special' THEN 'gemini' ELSE 'anthropic' END AS provider,
+  CASE turn WHEN 2 THEN 'redact' WHEN 3 THEN 'mask' ELSE 'tokenize' END AS mode, CASE WHEN coalesce(text, '') = '' THEN 'missing_prompt' WHEN strlen(text) > 300 THEN 'prompt_too_large' WHEN turn = 3 THEN 'invalid_sanitization_mode' END AS error_code FROM conversations""",
         "sealed_vaults": r"""WITH t AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6)) AS w, generate_subscripts(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6), 1) AS i FROM conversations WHERE turn = 0),
 f AS (SELECT conv_id, w, min(i) AS i FROM t GROUP BY ALL),
 v AS (SELECT conv_id, conv_id % 6 AS k, count(*)::INT AS n, arg_max(w, i) AS last FROM f GROUP BY conv_id),
