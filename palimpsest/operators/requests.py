@@ -102,10 +102,31 @@ def item_error(limits: Limits = Limits(), prefix: str = PREFIX) -> Column:
     )
 
 
-def run_batch(items: DataFrame, mode: str = "redact", limits: Limits = Limits(), prefix: str = PREFIX) -> DataFrame:
+def store_error(status: Column) -> Column:
+    """An item's error by how its session's vault was read or saved (the status of unsealed vaults and of judged saves).
+
+    A store that is away, or a save that lost all its tries, can be asked again; a vault that doesn't open, or is corrupt, can't.
+    """
+    return F.when(status.isin("unavailable", "conflict"), "session_store_unavailable").when(status.isin("unknown_key", "wrong_key", "corrupt"), "sanitization_failed")
+
+
+def checked_items(items: DataFrame, mode: str = "redact", limits: Limits = Limits(), prefix: str = PREFIX, stored: DataFrame | None = None) -> DataFrame:
+    """items with error_code and mode. stored: session_id and status of vaults; of several statuses of a session the gravest by
+    store_error counts, an absent vault is a new one, and only items that make tokens need it."""
+    out = items.withColumn("error_code", item_error(limits, prefix)).withColumn("mode", resolved_mode(F.col("sanitization_mode"), mode))
+    if stored is None:
+        return out
+    # "sanitization_failed" sorts before "session_store_unavailable": what can't be mended by another try goes first.
+    bad = stored.groupBy(F.col("session_id").alias("_session")).agg(F.min(store_error(F.col("status"))).alias("_store")).where("_store IS NOT NULL")
+    needs = F.when((F.col("mode") == "tokenize") & F.col("error_code").isNull(), F.col("session_id"))
+    met = out.withColumn("_needs", needs).join(bad, F.col("_needs") == F.col("_session"), "left")
+    return met.withColumn("error_code", F.coalesce("error_code", "_store")).drop("_needs", "_session", "_store")
+
+
+def run_batch(items: DataFrame, mode: str = "redact", limits: Limits = Limits(), prefix: str = PREFIX, stored: DataFrame | None = None) -> DataFrame:
     """item_index, id, ok, error_code, sanitized_prompt, violations, counts, session_id. The original prompt isn't returned, and
     items that fail don't stop others. Items without a session share none: each that makes tokens gets a session of its own."""
-    checked = items.withColumn("error_code", item_error(limits, prefix)).withColumn("mode", resolved_mode(F.col("sanitization_mode"), mode))
+    checked = checked_items(items, mode, limits, prefix, stored)
     good = checked.where("error_code IS NULL")
     columns = ["item_index", "id", "ok", "error_code", "sanitized_prompt", "violations", "redacted_count", "tokenized_count", "session_id", "mode"]
     plain = sanitize(good.where("mode = 'redact'"), "prompt").withColumns({"ok": F.lit(True), "session_id": F.lit(None).cast("string")})

@@ -186,8 +186,23 @@ def configured_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.route(items).select("conv_id", "turn", "provider", rewrite.resolved_mode(F.col("sanitization_mode"), s.behaviour.sanitization_mode).alias("mode"), requests.item_error(s.limits()).alias("error_code"))
 
 
+STATUSES = ["ok", "unavailable", "unknown_key", "wrong_key", "corrupt", "conflict"]
+
+
+def batch_store_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as items of their conversation's session, whose vault some stores can't give: the first error of each item."""
+    h = F.md5(F.col("conv_id").cast("string"))
+    session = F.concat(F.lit("vlt_"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+    turns = _turns(spark, sf_dir).withColumn("session_id", session)
+    status = lambda n: F.get(F.array(*map(F.lit, STATUSES)), (n % len(STATUSES)).cast("int"))
+    # Each turn's save has a status of its own in every seventh conversation; others have one status.
+    stored = turns.where("conv_id % 3 <> 2").select("session_id", status(F.when(F.col("conv_id") % 7 == 0, F.col("conv_id") + F.col("turn")).otherwise(F.col("conv_id"))).alias("status"))
+    items = turns.select("conv_id", "turn", F.col("text").alias("prompt"), F.when(F.col("turn") == 5, "bad").otherwise(F.col("session_id")).alias("session_id"), F.when(F.col("turn") % 3 == 1, "redact").alias("sanitization_mode"))
+    return requests.checked_items(items, "tokenize", LIMITS, stored=stored).select("conv_id", "turn", "mode", "error_code")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (configured_turns, vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+    return {f.__name__: f for f in (batch_store_errors, configured_turns, vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
 
 
 _TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
@@ -232,6 +247,10 @@ a AS (SELECT s, 1::BIGINT AS version, NULL::BIGINT AS added, w FROM t WHERE o =
 u AS (SELECT s, version, added, unnest(w) AS matched, generate_subscripts(w, 1) AS i FROM a),
 f AS (SELECT s, matched, min((version, i)) AS ord, nullif(min(version), 1) AS added FROM u GROUP BY s, matched)
 SELECT s AS session_id, matched, 'default' AS gen_key, row_number() OVER (PARTITION BY s ORDER BY ord) AS seq, added AS payload_version FROM f""",
+        "batch_store_errors": f"""WITH s AS (SELECT conv_id, {STATUSES!r}[(CASE WHEN conv_id % 7 = 0 THEN conv_id + turn ELSE conv_id END) % {len(STATUSES)} + 1] AS status FROM conversations WHERE conv_id % 3 <> 2),
+b AS (SELECT conv_id, CASE WHEN bool_or(status IN ('unknown_key', 'wrong_key', 'corrupt')) THEN 'sanitization_failed' WHEN bool_or(status IN ('unavailable', 'conflict')) THEN 'session_store_unavailable' END AS failed FROM s GROUP BY conv_id)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'redact' ELSE 'tokenize' END AS mode,
+  CASE WHEN coalesce(text, '') = '' THEN 'missing_prompt' WHEN strlen(text) > {LIMITS.max_prompt_bytes} THEN 'prompt_too_large' WHEN turn = 5 THEN 'invalid_session_id' WHEN turn % 3 <> 1 THEN failed END AS error_code FROM conversations LEFT JOIN b USING (conv_id)""",
         "configured_turns": f"""SELECT conv_id, turn, CASE {ASKED!r}[(conv_id + turn) % {len(ASKED)} + 1] WHEN ' ' THEN NULL WHEN 'gemini-1' THEN 'gemini' WHEN 'special' THEN 'gemini' ELSE 'anthropic' END AS provider,
   CASE turn WHEN 2 THEN 'redact' WHEN 3 THEN 'mask' ELSE 'tokenize' END AS mode, CASE WHEN coalesce(text, '') = '' THEN 'missing_prompt' WHEN strlen(text) > 300 THEN 'prompt_too_large' WHEN turn = 3 THEN 'invalid_sanitization_mode' END AS error_code FROM conversations""",
         "sealed_vaults": r"""WITH t AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6)) AS w, generate_subscripts(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: length(w) >= 6), 1) AS i FROM conversations WHERE turn = 0),

@@ -25,6 +25,20 @@ def test_tokenize_mode(spark):
     assert got[0].sanitized_prompt == got[1].sanitized_prompt != "a@b.com" and got[0].tokenized_count == 1 and got[0].session_id == session
 
 
+def test_store_errors(spark):
+    """A session's vault that can't be had fails its items that make tokens, and no others."""
+    ids = {s: f"vlt_{i}7f3b2c1-4d5e-6f7a-8b9c-0d1e2f3a4b5c" for i, s in enumerate(["ok", "unavailable", "conflict", "wrong_key", "corrupt", "new"])}
+    rows = [(i, s, "a@b.com", v, "tokenize", None) for i, (s, v) in enumerate(ids.items())]
+    rows += [(10, "redact", "a@b.com", ids["corrupt"], "redact", None), (11, "none", "a@b.com", None, "tokenize", None), (12, "empty", "", ids["corrupt"], "tokenize", None)]
+    stored = spark.createDataFrame([(v, s) for s, v in ids.items() if s != "new"] + [(ids["unavailable"], "ok"), (None, "corrupt"), (ids["wrong_key"], "unavailable")], "session_id string, status string")
+    got = {r.id: r for r in requests.run_batch(spark.createDataFrame(rows, requests.ITEM), stored=stored).collect()}
+    assert len(got) == len(rows)
+    want = {"unavailable": "session_store_unavailable", "conflict": "session_store_unavailable", "wrong_key": "sanitization_failed", "corrupt": "sanitization_failed", "empty": "missing_prompt"}
+    assert {i: r.error_code for i, r in got.items() if r.error_code} == want
+    assert all(r.ok == (i not in want) and (r.sanitized_prompt is None) == (i in want) for i, r in got.items())
+    assert got["redact"].sanitized_prompt == "[REDACTED_EMAIL]" and "a@b.com" not in got["new"].sanitized_prompt
+
+
 @pytest.mark.parametrize(
     ("body", "status"),
     [("{", 400), ('{"items": []}', 400), ("{}", 400), ('{"items": [{"prompt": "x"}], "more": 1}', 400), ('{"items": [{"prompt": "x", "odd": 1}]}', 400), ('{"items": [{"prompt": "x"}]} {}', 400), ('{"items": [' + ",".join(['{"prompt":"x"}'] * 101) + "]}", 400), ('{"items": [{"prompt": "' + "x" * 1048576 + '"}]}', 413)],
