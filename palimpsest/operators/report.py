@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .rewrite import rewritten_spans
@@ -70,13 +70,30 @@ def events(df: DataFrame, request: str) -> DataFrame:
     return df.where(F.size("violations") > 0).select(request, F.posexplode(lines).alias("event_index", "event"))
 
 
+def counters() -> list[Column]:
+    """Requests, violations, rewritten spans and safe requests, as aggregates of sanitized rows."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return [F.count(F.lit(1)).alias("requests_total"), total(F.size("violations")).alias("violations_total"), total("redacted_count").alias("redacted_total"), F.count_if("safe").alias("safe_total")]
+
+
 def metrics_text(df: DataFrame, prefix: str = "sanitizer") -> DataFrame:
     """One row of text in the exposition format: requests, violations, rewritten spans, safe requests."""
-    totals = df.agg(F.count(F.lit(1)).alias("requests_total"), F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations_total"), F.coalesce(F.sum("redacted_count"), F.lit(0)).alias("redacted_total"), F.count_if("safe").alias("safe_total"))
+    totals = df.agg(*counters())
     line = lambda n: F.concat(F.lit(f"# TYPE {prefix}_{n} counter\n{prefix}_{n} "), F.col(n).cast("string"), F.lit("\n"))
     return totals.select(F.concat(*[line(n) for n in totals.columns]).alias("text"))
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and its counters, which fill as df is written: no second pass. For observed_text once the action has ended."""
+    counts = Observation()
+    return df.observe(counts, *counters()), counts
+
+
+def observed_text(counts: Observation, prefix: str = "sanitizer") -> str:
+    """The text of metrics_text from what was counted along with an action; waits for the action."""
+    return "".join(f"# TYPE {prefix}_{n} counter\n{prefix}_{n} {v}\n" for n, v in counts.get.items())
+
+
 def average_latency(df: DataFrame, ms: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg(ms), F.lit(0.0)).alias("average_ms"), F.count(ms).alias("n"))
 
