@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import contextual, lifecycle, requests, rewrite, saves, sealed, vault
 from palimpsest.operators.spans import placed_matches
 from palimpsest.sources import settings
+from palimpsest.streaming import vault_stream
 
 #: Conversations have no times: one begins every START_S seconds, and its turns follow at growing distances, the fifth after more
 #: than the time to live.
@@ -15,6 +16,8 @@ START_S, GROWTH_S = 97, 450
 STORES, STORE_ROOM = 4, 6
 #: Documents as requests: seconds from one to the next, and more after every hundred.
 STEP_S, PAUSE_S = 40, 4000
+#: Documents of a streamed session, and of each of its vaults.
+SESSION_DOCS, EPOCH_DOCS = 60, 20
 #: Tags that words of a conversation get by their hash.
 TAGS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret", "I-secret", "private_url", "U-private_date", "L-private_person", "I-private_person", "", "O-other"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +47,15 @@ def vault_epoch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("session_id", "epoch", "gen_key").agg(F.count("*").alias("n"), F.min("seq").cast("long").alias("first"), F.max("seq").cast("long").alias("last"))
 
 
+def streamed_vault_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests of many sessions through the stream's state, as one batch: how many values of each family a vault has."""
+    i = F.col("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(i / SESSION_DOCS).cast("string").alias("session_id"), i.alias("request_order"), "text", F.timestamp_seconds(i * STEP_S + F.floor(i / EPOCH_DOCS) * PAUSE_S).alias("at"))
+    out = vault_stream.tokenized_stream(docs, at="at")
+    new = out.select("session_id", "epoch", F.explode("made").alias("m"))
+    return new.groupBy("session_id", "epoch", "m.gen_key").agg(F.count("*").alias("n"), F.min("m.seq").alias("first"), F.max("m.seq").alias("last"))
+
+
 def vault_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls to stores of little room: which are refused, and which find no vault."""
     both = F.col("conv_id") + F.col("request_order")
@@ -202,26 +214,29 @@ def batch_store_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (batch_store_errors, configured_turns, vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, vault_replay, resolved_conversations, bioes_decode)}
+    return {f.__name__: f for f in (batch_store_errors, configured_turns, vault_saves, vault_saved_numbers, sealed_vaults, request_envelopes, request_items, request_summary, vault_lifecycle, vault_epoch_numbers, streamed_vault_numbers, vault_replay, resolved_conversations, bioes_decode)}
 
 
 _TIMES = f"t AS (SELECT conv_id, conv_id::VARCHAR AS s, turn AS o, conv_id * {START_S} + turn * turn * {GROWTH_S} AS tm FROM conversations)"
 _DOC_TIMES = f"t AS (SELECT source AS s, doc_id AS o, doc_id * {STEP_S} + doc_id // 100 * {PAUSE_S} AS tm FROM documents WHERE source IS NOT NULL)"
+_STREAM_TIMES = f"t AS (SELECT (doc_id // {SESSION_DOCS})::VARCHAR AS s, doc_id AS o, doc_id * {STEP_S} + doc_id // {EPOCH_DOCS} * {PAUSE_S} AS tm FROM documents)"
 _EPOCHS = f"""
 g AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY s ORDER BY tm, o) >= {lifecycle.TTL_S} THEN 1 ELSE 0 END AS fresh FROM t),
 e AS (SELECT *, sum(fresh) OVER (PARTITION BY s ORDER BY tm, o ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch FROM g)"""
 
 
-def _numbers_sql() -> str:
-    """The vaults' numbers with the epoch in the session's name."""
+def _numbers_sql(times: str, requests: str) -> str:
+    """How many values of each family a vault has. times: the requests' times; requests: their texts, as e's table x."""
     from .catalogue import _vault_ctes
 
     ctes = _vault_ctes()
     start = ctes.index("SELECT conv_id::VARCHAR AS session_id")
     end = ctes.index("UNION ALL", start)
     stop = ctes.index(")", ctes.index("AS v(s, o, t)", end) + len("AS v(s, o, t)"))
-    turns = "SELECT s || '#' || epoch AS session_id, o AS request_order, coalesce(text, '') AS t FROM e JOIN documents d ON d.source = e.s AND d.doc_id = e.o"
-    return f"WITH {_DOC_TIMES}, {_EPOCHS}, " + (ctes[:start] + turns + ctes[stop:]).removeprefix("WITH ")
+    turns = "SELECT s || '#' || epoch AS session_id, o AS request_order, coalesce(text, '') AS t FROM e JOIN " + requests
+    numbers = (ctes[:start] + turns + ctes[stop:]).removeprefix("WITH ")
+    return f"""WITH {times}, {_EPOCHS}, {numbers}
+SELECT string_split(session_id, '#')[1] AS session_id, string_split(session_id, '#')[2]::BIGINT AS epoch, gen_key, count(*) AS n, min(seq) AS first, max(seq) AS last FROM numbers GROUP BY ALL"""
 
 
 def oracle_sql() -> dict:
@@ -264,8 +279,8 @@ SELECT conv_id::VARCHAR AS session_id, keys, CASE WHEN k < 2 THEN 'ok' WHEN k >=
         "vault_lifecycle": f"""WITH {_TIMES}, {_EPOCHS},
 v AS (SELECT s, epoch, min(tm) AS a, max(tm) + {lifecycle.TTL_S} AS b, count(*) AS n FROM e GROUP BY ALL)
 SELECT s AS session_id, epoch, a AS started_at, b AS expires_at, n AS requests, (SELECT count(*) FROM v x WHERE (x.a, x.s, x.epoch) <= (v.a, v.s, v.epoch) AND x.b > v.a)::BIGINT AS live FROM v""",
-        "vault_epoch_numbers": f"""{_numbers_sql()}
-SELECT string_split(session_id, '#')[1] AS session_id, string_split(session_id, '#')[2]::BIGINT AS epoch, gen_key, count(*) AS n, min(seq) AS first, max(seq) AS last FROM numbers GROUP BY ALL""",
+        "vault_epoch_numbers": _numbers_sql(_DOC_TIMES, "documents x ON x.source = e.s AND x.doc_id = e.o"),
+        "streamed_vault_numbers": _numbers_sql(_STREAM_TIMES, "documents x ON x.doc_id = e.o"),
         "vault_replay": f"""WITH RECURSIVE {_TIMES},
 c AS (SELECT (conv_id % {STORES})::VARCHAR AS store, s, o, tm, CASE WHEN (conv_id + o) % 11 = 10 THEN 'delete' WHEN (conv_id + o) % 5 = 4 THEN 'get' ELSE 'begin' END AS action,
              row_number() OVER (PARTITION BY conv_id % {STORES} ORDER BY tm, s, o) AS i FROM t),
