@@ -9,7 +9,7 @@ from palimpsest.functions.checks import digits_of, iban_ok, luhn_ok
 from palimpsest.functions.dialect import to_java
 from palimpsest.sources.patterns import Pattern
 
-from .spans import no_spans, placed_matches, regex_matches, span
+from .spans import let, no_spans, placed_matches, regex_matches, span
 
 #: Candidate expressions.
 CARD = r"(?:\d[ -]?){13,19}"
@@ -53,8 +53,10 @@ def canonical_emails(text: Column, loaded: Loaded) -> Column:
     code = lambda u: F.conv(F.substring(u, 2, 2), 16, 10).cast("int")
     plain = lambda u: F.when(F.length(u) == 3, F.when(code(u) < 128, F.char(code(u))).otherwise(F.lit("\x01"))).otherwise(F.translate(u, CONFUSABLE, LATIN))
     view = F.array_join(F.transform(units, plain), "")
-    before = lambda n: F.aggregate(F.slice(units, F.lit(1), n), F.lit(0), lambda s, u: s + F.octet_length(u))
-    found = F.transform(placed_matches(view, p.java, size=F.length), lambda x: _of(p, x["matched"], before(x["position"]), before(x["end"])))
+    # A sign of three bytes for each three that are decoded: the view's characters with the text's bytes.
+    bytes_ = F.regexp_replace(text, "%[0-9A-Fa-f]{2}", "\u2030")
+    outer = lambda b: F.transform(placed_matches(view, p.java, size=F.length), lambda x: _of(p, x["matched"], F.octet_length(F.left(b, x["position"])), F.octet_length(F.left(b, x["end"]))))
+    found = let(bytes_, outer)
     return _gated(text.rlike("@|%40") & text.rlike(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]"), found)
 
 
@@ -143,30 +145,22 @@ def escaped_uris(text: Column, loaded: Loaded) -> Column:
         return no_spans()
     dropped = r"\\[nrt]|[\n\r\t]"
     view = F.regexp_replace(text, dropped, "")
-    units = F.regexp_extract_all(text, F.lit(r"(?s)\\[nrt]|."), F.lit(0))
 
-    def outer(x: Column) -> Column:
-        start = F.struct(*[F.lit(v).alias(k) for k, v in (("kept", 0), ("at", 0), ("begin", 0), ("end", 0))])
-
-        def walk(s: Column, u: Column) -> Column:
-            after, out = s["at"] + F.octet_length(u), u.rlike(r"\A(?:\\[nrt]|[\n\r\t])\z")
-            return F.struct(
-                F.when(out, s["kept"]).otherwise(s["kept"] + 1).alias("kept"), after.alias("at"),
-                F.when(~out & (s["kept"] == x["position"]), s["at"]).otherwise(s["begin"]).alias("begin"),
-                F.when(~out & (s["kept"] == x["end"] - 1), after).otherwise(s["end"]).alias("end"),
-            )
-
-        return F.aggregate(units, start, walk)
+    def outer(x: Column, breaks: Column) -> Column:
+        """A match of the view in the text's bytes: every break in front of it, and for its end every one within it, moves it on."""
+        moved = lambda at, before: F.aggregate(breaks, at, lambda s, r: F.when(before(r["position"], s), s + r["end"] - r["position"]).otherwise(s))
+        begin, end = moved(x["position"], lambda r, s: r <= s), moved(x["end"], lambda r, s: r < s)
+        return F.struct(begin.alias("begin"), end.alias("end"))
 
     raw = text.cast("binary")
     slice_of = lambda o: F.substring(raw, o["begin"] + 1, o["end"] - o["begin"]).cast("string")
 
-    def spans_of(p: Pattern) -> Column:
-        return F.transform(F.transform(placed_matches(view, p.java, size=F.length), outer), lambda o: _of(p, slice_of(o), o["begin"], o["end"]))
+    def spans_of(p: Pattern, breaks: Column) -> Column:
+        return F.transform(F.transform(placed_matches(view, p.java), lambda x: outer(x, breaks)), lambda o: _of(p, slice_of(o), o["begin"], o["end"]))
 
-    spans = [spans_of(p) for p in patterns]
+    spans = let(placed_matches(text, dropped), lambda breaks: F.concat(*[spans_of(p, breaks) for p in patterns]))
     broken = rf":(?:{dropped})*/(?:{dropped})*/"
-    return _gated(text.rlike(broken) & text.rlike(dropped) & view.rlike("(?:postgres|mongodb(?:\\+srv)?|mysql)://"), F.concat(*spans))
+    return _gated(text.rlike(broken) & text.rlike(dropped) & view.rlike("(?:postgres|mongodb(?:\\+srv)?|mysql)://"), spans)
 
 
 def advanced_spans(text: Column, loaded: Loaded) -> Column:

@@ -1,11 +1,13 @@
 """Detection, overlap, redaction: the regression strings, invariants, and odd rows."""
 
 import base64
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import detect, overlap, report, rewrite, spans
+from palimpsest.operators import advanced, detect, overlap, report, rewrite, spans
 from palimpsest.sources.patterns import Pattern, load
 
 CASES = [
@@ -118,3 +120,44 @@ def test_reports(spark):
     assert [e.event_index for e in events] == [0, 1] and all(e.event.startswith("data: {") for e in events)
     q = spark.createDataFrame([("b=2&Api_Key=x&a=1&token",)], "q string").select(report.redacted_query(F.col("q")).alias("q")).first().q
     assert q == "Api_Key=%5BREDACTED%5D&a=1&b=2&token=%5BREDACTED%5D"
+
+
+def test_view_maps(spark):
+    """Positions in the text of matches in a decoded view, against units counted one by one; many matches in one text."""
+    loaded = {p.name: p for p in load()}
+    rng = random.Random(7)
+    signs = ["%41", "%4", "%", "é", "о", "😀", "ada%40mail.com", "аda@mail.com", " ", "\n", "\\n", "\t", "x", "%c3%a9", "postgres:\\n//u:secret@h/db", "mysql:/\n/u:p@h/d", "postgres://\\tu:\\rp@h/d\\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(150)]
+    texts += [" é ".join(f"аda{k}%40mail.com" for k in range(500)), " ".join(f"postgres:\\n//u{k}:p@h/db\\t" for k in range(200))]
+    view = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+    rows = view.select("id", advanced.canonical_emails(F.col("t"), loaded).alias("m"), advanced.escaped_uris(F.col("t"), loaded).alias("u")).collect()
+
+    def units(text, expression, plain):
+        """(view, byte of each unit's start and end)"""
+        us = re.findall(expression, text, re.DOTALL)
+        kept, at, places = [], 0, []
+        for u in us:
+            size = len(u.encode())
+            if (v := plain(u)) is not None:
+                kept.append(v)
+                places.append((at, at + size))
+            at += size
+        return "".join(kept), places
+
+    table = str.maketrans(advanced.CONFUSABLE, advanced.LATIN)
+    decoded = lambda u: (chr(int(u[1:], 16)) if int(u[1:], 16) < 128 else "\x01") if len(u) == 3 and u[0] == "%" else u.translate(table)
+    joined = lambda u: None if re.fullmatch(r"\\[nrt]|[\n\r\t]", u) else u
+    for r in rows:
+        text = texts[r.id]
+        v, places = units(text, r"%[0-9A-Fa-f]{2}|.", decoded)
+        want = [(m.group(), places[m.start()][0], places[m.end() - 1][1]) for m in re.finditer(loaded["email"].regex, v, re.ASCII)]
+        gate = re.search("@|%40", text) and re.search(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]", text)
+        assert [(x.matched, x.position, x.end) for x in r.m] == (want if gate else []), text
+        v, places = units(text, r"\\[nrt]|.", joined)
+        raw = text.encode()
+        want = []
+        for name in advanced.URI_PATTERNS:
+            ends = [(places[m.start()][0], places[m.end() - 1][1]) for m in re.finditer(loaded[name].regex, v, re.ASCII)]
+            want += [(name, raw[a:b].decode(), a, b) for a, b in ends]
+        d = r"(?:\\[nrt]|[\n\r\t])*"
+        assert [(x.pattern, x.matched, x.position, x.end) for x in r.u] == (want if re.search(f":{d}/{d}/", text) and re.search(r"\\[nrt]|[\n\r\t]", text) else []), text
