@@ -18,6 +18,8 @@ from . import oracle, payloads, sessions
 from .fixtures import BROKEN_URIS, EXACT, ITEMS, MODELS, TEXTS, sql_values
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modes that documents ask for as items, by turns.
+SENT_MODES = ["redact", "", "tokenize", "mask"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,7 +181,11 @@ def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.summary(requests.run_batch(_items(spark)))
+    """The fixed items and every document as one batch, in both modes, some of the items wrong."""
+    i = F.col("doc_id")
+    sent = _table(spark, sf_dir, "documents").select((i + len(ITEMS)).cast("long").alias("item_index"), i.cast("string").alias("id"), F.col("text").alias("prompt"), F.when(i % 7 == 3, "bad").alias("session_id"), _picked(SENT_MODES, i).alias("sanitization_mode"), F.lit(False).alias("slm"))
+    items = _items(spark)
+    return requests.summary(requests.run_batch(items.withColumn("item_index", F.col("item_index").cast("long")).unionByName(sent)))
 
 
 def mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +241,10 @@ def redacted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def default_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns_frame(spark, load()).select("load_order", "name", "type", "severity")
+    """The patterns in their order, and how many violations of each the documents have."""
+    used = one_by_one(_detected(spark, sf_dir), "violations").groupBy(F.col("x.pattern").alias("name")).agg(F.count(F.lit(1)).alias("n_violations"))
+    named = patterns_frame(spark, load()).join(used, "name", "left")
+    return named.select("load_order", "name", "type", "severity", F.coalesce("n_violations", F.lit(0)).alias("n_violations"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +338,10 @@ def oracle_sql() -> dict[str, str]:
         "vault_tokens": f"{_vault_ctes()} SELECT session_id, matched, pattern, gen_key, seq FROM numbers",
         "numeric_tokens": f"{_vault_ctes()} SELECT session_id, matched, lpad(seq::VARCHAR, strlen(matched)::INT, '0') AS token FROM numbers WHERE gen_key = 'numeric'",
         "batch_validation": f"SELECT i::INT AS item_index, CASE WHEN coalesce(p, '') = '' THEN 'missing_prompt' WHEN strlen(p) > 65536 THEN 'prompt_too_large' WHEN coalesce(s, '') <> '' AND NOT regexp_full_match(s, 'vlt_[0-9a-fA-F-]{{36}}') THEN 'invalid_session_id' WHEN coalesce(m, '') <> '' AND m NOT IN ('redact', 'tokenize') THEN 'invalid_sanitization_mode' END AS error_code FROM {items} AS v(i, id, p, s, m, slm)",
-        "batch_summary": "SELECT 7::BIGINT AS total, 3::BIGINT AS succeeded, 4::BIGINT AS failed, 2::BIGINT AS violations, 2::BIGINT AS redacted, 0::BIGINT AS tokenized",
+        # The fixed items: seven, of which three hold, with two violations that are redacted.
+        "batch_summary": f"""{every}, v AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE severity IN ('BLOCK', 'WARN')) AS r, count(*) FILTER (WHERE severity IN ('BLOCK', 'WARN') AND type <> 'credential') AS t FROM kept GROUP BY id),
+i AS (SELECT doc_id, {pick(SENT_MODES, "doc_id")} AS m, coalesce(text, '') <> '' AND strlen(text) <= 65536 AND doc_id % 7 <> 3 AND m <> 'mask' AS ok FROM documents)
+SELECT count(*) + 7 AS total, count(*) FILTER (WHERE ok) + 3 AS succeeded, count(*) FILTER (WHERE NOT ok) + 4 AS failed, (coalesce(sum(n) FILTER (WHERE ok), 0) + 2)::BIGINT AS violations, (coalesce(sum(r) FILTER (WHERE ok), 0) + 2)::BIGINT AS redacted, coalesce(sum(t) FILTER (WHERE ok AND m = 'tokenize'), 0)::BIGINT AS tokenized FROM i LEFT JOIN v ON id = doc_id""",
         "mode_counts": f"SELECT count(*) FILTER (WHERE m = 'redact') AS redact, count(*) FILTER (WHERE m = 'tokenize') AS tokenize, count(*) FILTER (WHERE slm) AS slm FROM {items} AS v(i, id, p, s, m, slm)",
         "route_models": f"SELECT model, provider, count(*) AS n FROM (SELECT model, CASE WHEN trim(model) = '' THEN NULL ELSE coalesce((SELECT p FROM {sql_values(list(EXACT.items()))} AS e(n, p) WHERE n = model), (SELECT arg_max(p, length(n)) FROM {sql_values(list(routing.PREFIXES))} AS x(n, p) WHERE starts_with(model, n)), 'openai') END AS provider FROM {models} AS m(model)) GROUP BY ALL",
         "capability_check": f"""WITH q AS (
@@ -342,7 +354,8 @@ FROM conversations JOIN {sql_values([(n, *contextual.LABELS[n]) for n in context
         "quality_join": f"{every}, n AS (SELECT id, count(*) AS n FROM kept GROUP BY id) SELECT quality, toxic, count(*)::BIGINT AS n_documents, coalesce(sum(n), 0)::BIGINT AS n_violations FROM labels JOIN documents USING (doc_id) LEFT JOIN n ON id = doc_id GROUP BY ALL",
         "redacted_payloads": oracle.redaction().replace(oracle.texts(), "SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS t FROM conversations", 1) + """
 SELECT conv_id, '{"model":"gpt-4o","messages":[' || string_agg('{"role":"' || role || '"' || CASE WHEN text IS NULL THEN '' ELSE ',"content":' || to_json(sanitized_text)::VARCHAR END || '}', ',' ORDER BY turn) || ']}' AS sanitized_body FROM conversations JOIN red ON red.id = conv_id * 1000 + turn GROUP BY conv_id""",
-        "default_patterns": f"SELECT i::INT AS load_order, name, type, severity FROM {sql_values([(i, p.name, p.type, p.severity) for i, p in enumerate(load())])} AS v(i, name, type, severity)",
+        "default_patterns": f"""{every}, n AS (SELECT pattern, count(*) AS n FROM kept GROUP BY pattern)
+SELECT i::INT AS load_order, name, type, severity, coalesce(n, 0)::BIGINT AS n_violations FROM {sql_values([(i, p.name, p.type, p.severity) for i, p in enumerate(load())])} AS v(i, name, type, severity) LEFT JOIN n ON pattern = name""",
         "metrics": f"{red} SELECT '# TYPE sanitizer_requests_total counter' || chr(10) || 'sanitizer_requests_total ' || count(*) || chr(10) || '# TYPE sanitizer_violations_total counter' || chr(10) || 'sanitizer_violations_total ' || sum(n_violations) || chr(10) || '# TYPE sanitizer_redacted_total counter' || chr(10) || 'sanitizer_redacted_total ' || sum(redacted_count) || chr(10) || '# TYPE sanitizer_safe_total counter' || chr(10) || 'sanitizer_safe_total ' || count(*) FILTER (WHERE n_violations = 0) || chr(10) AS text FROM red",
         "redacted_urls": "SELECT page_id, array_to_string(list_sort(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), '&') AS query FROM pages WHERE contains(url, '?')",
     }
