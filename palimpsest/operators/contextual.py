@@ -8,7 +8,9 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .spans import SPANS, span
 MODEL_SPAN = "struct<label:string,text:string,start:int,end:int,score:double>"
 MAX_BYTES = 16384
 BATCH = 32
+#: Tokens that are Python objects at once, but for a text that has more of them by itself.
+SLICE_TOKENS = 1 << 14
 #: Type, severity and pattern of each label.
 LABELS = {
     "private_bvn": ("pii", "BLOCK", "slm_bvn"), "private_nin": ("pii", "BLOCK", "slm_nin"), "private_passport_number": ("pii", "BLOCK", "slm_passport"),
@@ -97,9 +101,24 @@ def _decoded(text: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_SPANS = pa.list_(pa.struct([("label", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+
+def _sliced(text: pa.Array, tokens: pa.Array) -> pa.Array:
+    """_decoded for an Arrow batch, slice by slice: a batch may hold many tokens, and as Python objects they take many times their bytes."""
+    before = np.concatenate([[0], np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())])
+    out, at = [], 0
+    while at < len(tokens):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + SLICE_TOKENS, side="right")) - 1)
+        stop = min(stop, at + SLICE_TOKENS)
+        out.append(pa.array(_decoded(text[at:stop].to_pandas(), tokens[at:stop].to_pandas()).tolist(), _SPANS))
+        at = stop
+    return pa.concat_arrays(out) if out else pa.array([], _SPANS)
+
+
 def decoded(text: Column | str, tokens: Column | str) -> Column:
     """A text and its tagged tokens (array<TOKEN>, in characters) -> its spans in bytes; null where either is null."""
-    return F.pandas_udf(_decoded, f"array<{MODEL_SPAN}>")(text, tokens)
+    return F.arrow_udf(_sliced, f"array<{MODEL_SPAN}>")(text, tokens)
 
 
 class Breaker:
