@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from palimpsest.sources.patterns import Pattern, load
 from .advanced import advanced_spans
 from .overlap import resolved
 from .secrets import secret_spans
-from .spans import no_spans, pattern_spans, pattern_sql, quoted
+from .spans import NO_SPANS_SQL, no_spans, pattern_spans, pattern_sql, quoted
 
 #: Default patterns by what every text with a match of theirs holds: a part of the text, or an expression that is quick to
 #: look for. One test spares most texts the whole group.
@@ -44,27 +45,40 @@ def raw_spans(text: Column, patterns: list[Pattern] | None = None, contextual: C
     """
     patterns = load() if patterns is None else patterns
     loaded = {p.name: p for p in patterns}
-    shipped = {p.name: p.regex for p in load()}
-    default = {n: p for n, p in loaded.items() if shipped.get(n) == p.regex}
-    grouped = {n for names in FORMS.values() for n in names} | set(PARTS)
-    others = [p for n, p in loaded.items() if n not in default or n not in grouped]
     found = [secret_spans(text), advanced_spans(text, loaded)]
     if sql is not None:
-        parts = [pattern_sql(sql, default[n], f"contains({sql}, {quoted(part)})") for n, part in PARTS.items() if n in default]
-        for form, names in FORMS.items():
-            parts += [pattern_sql(sql, default[n], f"{sql} RLIKE {quoted(form)}") for n in names if n in default]
-        parts += [pattern_sql(sql, p) for p in others]
-        found += [F.expr(f"concat({', '.join(parts)})")] if parts else []
+        found += [pattern_group(sql, patterns)] if patterns else []
     else:
-        found += [pattern_spans(text, default[n], F.contains(text, F.lit(part))) for n, part in PARTS.items() if n in default]
-        for form, names in FORMS.items():
-            group = [pattern_spans(text, default[n]) for n in names if n in default]
-            if group:
-                found.append(F.when(text.rlike(form), F.concat(*group)).otherwise(no_spans()))
+        by_part, by_form, others = _grouped(patterns)
+        found += [pattern_spans(text, p, F.contains(text, F.lit(part))) for part, p in by_part]
+        for form, group in by_form:
+            found.append(F.when(text.rlike(form), F.concat(*[pattern_spans(text, p) for p in group])).otherwise(no_spans()))
         found += [pattern_spans(text, p) for p in others]
     return F.concat(*found, *([contextual] if contextual is not None else []))
 
 
+def _grouped(patterns: list[Pattern]) -> tuple[list[tuple[str, Pattern]], list[tuple[str, list[Pattern]]], list[Pattern]]:
+    """Default patterns with the part of theirs, groups of them with their form, and all others."""
+    loaded = {p.name: p for p in patterns}
+    shipped = {p.name: p.regex for p in load()}
+    default = {n: p for n, p in loaded.items() if shipped.get(n) == p.regex}
+    by_part = [(part, default[n]) for n, part in PARTS.items() if n in default]
+    by_form = [(form, [default[n] for n in names if n in default]) for form, names in FORMS.items()]
+    grouped = {n for names in FORMS.values() for n in names} | set(PARTS)
+    return by_part, [(form, group) for form, group in by_form if group], [p for n, p in loaded.items() if n not in default or n not in grouped]
+
+
+def pattern_group(sql: str, patterns: list[Pattern]) -> Column:
+    """Spans of all patterns over a text that has a name in SQL. A text without a form's like is spared the form's whole group."""
+    by_part, by_form, others = _grouped(patterns)
+    # Plain words need no expression.
+    held = lambda form: " OR ".join(f"contains({sql}, {quoted(w)})" for w in form.split("|")) if re.fullmatch(r"[\w@|]+", form) else f"{sql} RLIKE {quoted(form)}"
+    parts = [pattern_sql(sql, p, f"contains({sql}, {quoted(part)})") for part, p in by_part]
+    parts += [f"if({held(form)}, concat({', '.join(pattern_sql(sql, p) for p in group)}), {NO_SPANS_SQL})" for form, group in by_form]
+    parts += [pattern_sql(sql, p) for p in others]
+    return F.expr(f"concat({', '.join(parts)})")
+
+
 def detect(df: DataFrame, text: str = "text", patterns: list[Pattern] | None = None, out: str = "violations", contextual: str | None = None) -> DataFrame:
     """df with the spans that stay, by position; a null text has none. Narrow projections only."""
     # The patterns are SQL over a fixed name, so a column may have any name.

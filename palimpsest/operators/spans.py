@@ -16,6 +16,7 @@ from palimpsest.sources.patterns import Pattern
 
 SPAN = "struct<type:string,severity:string,pattern:string,matched:string,position:int,end:int>"
 SPANS = f"array<{SPAN}>"
+NO_SPANS_SQL = f"cast(array() AS {SPANS.replace('end:', '`end`:')})"
 
 
 def no_spans() -> Column:
@@ -42,7 +43,9 @@ def placed_matches(text: Column, java: str, groups: int = 0, size: Callable[[Col
     groups must match what it has matched once more without the text around it.
     """
     inner = [(f"g{k + 1}", k + 1) for k in range(groups)]
-    found = F.struct(F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("m"), F.split(text, java, -1).alias("gap"))
+    matched = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    # Where nothing matches there are no gaps to look for.
+    found = lambda m: F.struct(m.alias("m"), F.when(F.size(m) > 0, F.split(text, java, -1)).otherwise(F.array().cast("array<string>")).alias("gap"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def ends(x: Column) -> Column:
@@ -53,7 +56,7 @@ def placed_matches(text: Column, java: str, groups: int = 0, size: Callable[[Col
         rows = F.arrays_zip(x["m"].alias("m"), ends(x).alias("e"))
         return F.transform(rows, lambda r: F.struct(r["m"].alias("matched"), (r["e"] - size(r["m"])).cast("int").alias("position"), r["e"].alias("end"), *[F.regexp_extract(r["m"], java, k).alias(g) for g, k in inner]))
 
-    return let(found, placed)
+    return let(matched, lambda m: let(found(m), placed))
 
 
 def pattern_spans(text: Column, pattern: Pattern, gate: Column | None = None) -> Column:
@@ -82,7 +85,7 @@ def pattern_sql(text: str, pattern: Pattern, gate: str = "true") -> str:
     named = f"'type', {quoted(pattern.type)}, 'severity', {quoted(pattern.severity)}, 'pattern', {quoted(pattern.name)}"
     rows = f"get(transform(array({ends}), e -> transform(f.m, (m, i) -> named_struct({named}, 'matched', m, 'position', e[i] - octet_length(m), 'end', e[i]))), 0)"
     found = f"get(transform(array(named_struct('m', regexp_extract_all({text}, {rx}, 0), 'gap', split({text}, {rx}, -1))), f -> filter({rows}, x -> x.end > x.position)), 0)"
-    return f"if({gate} AND {text} RLIKE {rx}, {found}, cast(array() AS {SPANS.replace('end:', '`end`:')}))"
+    return f"if({gate} AND {text} RLIKE {rx}, {found}, {NO_SPANS_SQL})"
 
 
 def regex_matches(text: Column, regex: str, groups: int = 0) -> Column:

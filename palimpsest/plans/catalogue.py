@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.checks import entropy
 from palimpsest.operators import advanced, contextual, overlap, payload, providers, report, requests, rewrite, routing, secrets, vault
-from palimpsest.operators.detect import detect, one_by_one, raw_spans
+from palimpsest.operators.detect import detect, one_by_one, pattern_group, raw_spans
 from palimpsest.operators.overlap import resolved
-from palimpsest.operators.spans import pattern_spans, pattern_sql
+from palimpsest.operators.spans import pattern_spans
 from palimpsest.sources.patterns import load, patterns_frame
 
 from . import oracle, payloads, sessions
@@ -65,7 +65,7 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the 24 patterns that stay."""
-    texts = _documents(spark, sf_dir).select("id", F.expr(f"concat({', '.join(pattern_sql('t', p) for p in load())})").alias("v"))
+    texts = _documents(spark, sf_dir).select("id", pattern_group("t", load()).alias("v"))
     return one_by_one(texts.select("id", resolved(F.col("v")).alias("v")), "v", "id").select("id", "x.*")
 
 
