@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ _KEYWORDS = "client_secret|private_key|api_key|apikey|credential|password|secret
 _CLASS = "a-z0-9_. -"
 #: Part of every keyword, by its rarest letters, in either case and with the signs that fold to k and s.
 KEYWORD_GATE = r"[eE][cC][rR][eE][tT]|[tT][oO][kK\x{212A}][eE][nN]|[pP][aA][sS\x{017F}]{2}[wW]|[eE][sS\x{017F}]{2}[iI][oO][nN]|[kK\x{212A}][eE][yY]|[rR][eE][dD][eE][nN][tT]"
+#: Those parts in lower case, and the signs by which a text may hold one in another form.
+KEYWORD_PARTS, FOLDED_SIGNS = ("ecret", "token", "passw", "ession", "key", "redent"), ("\u017f", "\u212a")
 #: Part of every AWS key.
 AWS_GATE = r"(?iu)secret[A-Z0-9_ -]*access|session_?token"
 #: A match may start only where a run of key characters starts, after ``export`` or a quote, or where the last match ended:
@@ -45,8 +49,8 @@ def aws_spans(text: Column) -> Column:
     session = lambda x: key(x).isin("awssessiontoken", "sessiontoken") & value(x).rlike(r"\A[A-Za-z0-9/+=]{80,}\z")
     found = F.filter(regex_matches(text, AWS_ASSIGNMENT, 6), lambda x: secret(x) | session(x))
     assigned = F.transform(found, lambda x: _credential(F.when(secret(x), "aws_secret_access_key").otherwise("aws_session_token"), x))
-    gated = lambda gate, spans: F.when(text.rlike(gate), spans).otherwise(no_spans())
-    return F.concat(gated("AKIA|ASIA", ids), gated(AWS_GATE, assigned))
+    short = F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA"))
+    return F.concat(F.when(short, ids).otherwise(no_spans()), F.when(has_keyword(text) & text.rlike(AWS_GATE), assigned).otherwise(no_spans()))
 
 
 def generic_pattern(key: Column) -> Column:
@@ -60,15 +64,21 @@ def generic_pattern(key: Column) -> Column:
 
 
 def is_secret_value(value: Column) -> Column:
-    return (F.octet_length(value) >= MIN_LENGTH) & (char_classes(value) >= 2) & (entropy(value) >= MIN_ENTROPY)
+    return let(value, lambda v: (F.octet_length(v) >= MIN_LENGTH) & (char_classes(v) >= 2) & (entropy(v) >= MIN_ENTROPY))
+
+
+def has_keyword(text: Column) -> Column:
+    """Whether a text holds what KEYWORD_GATE matches; plain parts are looked for first, many times faster than the expression."""
+    held = lambda x, parts: functools.reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in parts])
+    return let(F.lower(text), lambda low: held(low, KEYWORD_PARTS)) | (held(text, FOLDED_SIGNS) & text.rlike(KEYWORD_GATE))
 
 
 def generic_spans(text: Column, taken: Column) -> Column:
-    """Key-value secrets that don't overlap the spans in ``taken``."""
+    """Key-value secrets that don't overlap the spans in ``taken``; a text without a keyword isn't searched."""
     found = F.filter(regex_matches(text, GENERIC_ASSIGNMENT, 3), lambda x: ~F.exists(taken, lambda t: overlaps(t, x)) & is_secret_value(bare_value(x["g3"])))
-    return F.transform(found, lambda x: _credential(generic_pattern(x["g1"]), x))
+    return F.when(has_keyword(text), F.transform(found, lambda x: _credential(generic_pattern(x["g1"]), x))).otherwise(no_spans())
 
 
 def secret_spans(text: Column) -> Column:
     found = let(aws_spans(text), lambda aws: F.concat(aws, generic_spans(text, aws)))
-    return F.when(text.rlike(f"AKIA|ASIA|{KEYWORD_GATE}"), found).otherwise(no_spans())
+    return F.when(F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) | has_keyword(text), found).otherwise(no_spans())

@@ -11,7 +11,7 @@ from palimpsest.functions.checks import entropy
 from palimpsest.operators import advanced, contextual, overlap, payload, providers, report, requests, rewrite, routing, secrets, vault
 from palimpsest.operators.detect import detect, one_by_one, pattern_group, raw_spans
 from palimpsest.operators.overlap import resolved
-from palimpsest.operators.spans import pattern_spans
+from palimpsest.operators.spans import let, pattern_spans
 from palimpsest.sources.patterns import load, patterns_frame
 
 from . import oracle, payloads, sessions
@@ -273,7 +273,7 @@ CANDIDATES = {
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"spans_{p.name}": _pattern(p.name) for p in load()}
     found |= {name: _of(make) for name, (make, _) in CANDIDATES.items()}
-    found["generic_secret"] = _of(lambda t, _: secrets.generic_spans(t, secrets.aws_spans(t)))
+    found["generic_secret"] = _of(lambda t, _: let(secrets.aws_spans(t), lambda aws: secrets.generic_spans(t, aws)))
     found["escaped_uri"] = escaped_uri
     found |= {f"violations_by_{c}": _count_by(c) for c in ("pattern", "type", "severity")}
     found |= {f"violations_by_{c}": _count_by_document(c) for c in ("lang", "source")}
