@@ -49,15 +49,16 @@ def canonical_emails(text: Column, loaded: Loaded) -> Column:
     p = loaded.get("email")
     if p is None:
         return no_spans()
-    units = F.regexp_extract_all(text, F.lit("(?s)%[0-9A-Fa-f]{2}|."), F.lit(0))
+    escapes = F.regexp_extract_all(text, F.lit("%[0-9A-Fa-f]{2}"), F.lit(0))
     code = lambda u: F.conv(F.substring(u, 2, 2), 16, 10).cast("int")
-    plain = lambda u: F.when(F.length(u) == 3, F.when(code(u) < 128, F.char(code(u))).otherwise(F.lit("\x01"))).otherwise(F.translate(u, CONFUSABLE, LATIN))
-    view = F.array_join(F.transform(units, plain), "")
+    plain = F.transform(escapes, lambda u: F.when(code(u) < 128, F.char(code(u))).otherwise(F.lit("\x01")))
+    between = F.split(text, "%[0-9A-Fa-f]{2}", -1)
+    view = let(plain, lambda d: F.array_join(F.transform(between, lambda b, i: F.concat(F.translate(b, CONFUSABLE, LATIN), F.coalesce(F.get(d, i), F.lit("")))), ""))
     # A sign of three bytes for each three that are decoded: the view's characters with the text's bytes.
     bytes_ = F.regexp_replace(text, "%[0-9A-Fa-f]{2}", "\u2030")
     outer = lambda b: F.transform(placed_matches(view, p.java, size=F.length), lambda x: _of(p, x["matched"], F.octet_length(F.left(b, x["position"])), F.octet_length(F.left(b, x["end"]))))
     found = let(bytes_, outer)
-    return _gated(text.rlike("@|%40") & text.rlike(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]"), found)
+    return _gated((F.contains(text, F.lit("@")) | F.contains(text, F.lit("%40"))) & text.rlike(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]"), found)
 
 
 def phones(text: Column, loaded: Loaded) -> Column:
@@ -135,7 +136,9 @@ def base64_secrets(text: Column) -> Column:
     shown = lambda x: F.decode(data(x), "ISO-8859-1").rlike(to_java(SIGNATURE))
     ok = lambda x: (F.length(x["matched"]) % 4 == 0) & F.coalesce(F.octet_length(data(x)).between(1, MAX_DECODED) & shown(x), F.lit(False))
     found = F.transform(F.filter(regex_matches(text, BASE64), ok), lambda x: span("credential", "WARN", "base64_encoded_secret", x["matched"], x["position"], x["end"]))
-    return _gated(text.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24}"), found)
+    # Words are cut much faster than runs are looked for, and a run lies in one word.
+    long = F.exists(F.split(text, " "), lambda w: F.octet_length(w) >= 24)
+    return _gated(long & text.rlike("[A-Za-z0-9+/]{24}+"), found)
 
 
 def escaped_uris(text: Column, loaded: Loaded) -> Column:
@@ -160,7 +163,8 @@ def escaped_uris(text: Column, loaded: Loaded) -> Column:
 
     spans = let(placed_matches(text, dropped), lambda breaks: F.concat(*[spans_of(p, breaks) for p in patterns]))
     broken = rf":(?:{dropped})*/(?:{dropped})*/"
-    return _gated(text.rlike(broken) & text.rlike(dropped) & view.rlike("(?:postgres|mongodb(?:\\+srv)?|mysql)://"), spans)
+    scheme = F.contains(text, F.lit("/")) & F.contains(text, F.lit(":"))
+    return _gated(scheme & text.rlike(broken) & text.rlike(dropped) & view.rlike("(?:postgres|mongodb(?:\\+srv)?|mysql)://"), spans)
 
 
 def advanced_spans(text: Column, loaded: Loaded) -> Column:
